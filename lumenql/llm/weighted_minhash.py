@@ -2,98 +2,73 @@
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-#: Samples of a fingerprint, and how many of them one row carries through the aggregation.
-SAMPLES = 64
-LANES = 8
-#: Steps of the inverse distribution table of Gamma(2, 1).
-STEPS = 1 << 14
+#: Samples of a fingerprint, and the largest weight that is drawn as one.
+SAMPLES = 128
+CHUNK = 4
 SEED = 20_011
 
 
-def gamma_quantiles(steps: int = STEPS) -> list[float]:
-    """Quantiles of Gamma(2, 1) at the middles of ``steps`` equal shares: F(x) = 1 - (1 + x) e^-x, solved by Newton's
-    method."""
-    out, x = [], 1e-3
-    for i in range(steps):
-        p = (i + 0.5) / steps
-        if p < 1e-3:
-            x = math.sqrt(2 * p)
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 4)
-            if abs(step) < 1e-13 * x:
-                break
-        out.append(x)
-    return out
-
+def _unit(bits: Column) -> Column:
+    """A number in (0, 1) from the lowest 31 bits."""
+    return (bits.bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") + F.lit(0.5)) * F.lit(2.0**-31)
 
-def _tables() -> tuple[Column, Column, Column]:
-    q = gamma_quantiles()
-    # parsed once, when the plan is optimised; an array of so many literals would be analysed one by one
-    arr = lambda v: F.from_json(F.lit(json.dumps(v)), "array<double>")
-    return arr(q), arr([1 / x for x in q]), arr([math.log(x) for x in q])
 
-
-def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMPLES, lanes: int = LANES) -> DataFrame:
-    """Signatures: for each ``keys`` an array<long> of ``n`` samples for every weight column, as sig_<weight>.
+def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMPLES, chunk: int = CHUNK) -> DataFrame:
+    """Signatures: for each ``keys`` a map from bin to sample for every weight column, as sig_<weight>, an array<long> of ``n``
+    samples, null where no weight fell.
 
     ``terms`` has one row per keys and term, with a long column ``term`` and non-negative integer weights; a
-    weight of 0 leaves the term out. For sample k, each term has r and c from Gamma(2, 1) and b from [0, 1), all fixed by a
-    hash of (term, k): t = floor(ln w / r + b), ln a = ln c - r (t - b + 1). The term of least a is sampled, together
-    with its t; two weighted sets then have equal samples with the probability of their generalised Jaccard
-    similarity, sum of minima by sum of maxima. One long holds ln a in its upper and a hash of
-    (term, t) in its lower half, so the sample is a plain minimum, combined before any shuffle.
-    A sample for which no term has weight is null.
+    weight of 0 leaves the term out. A weight is split into chunks of ``chunk`` at most, the i-th of one document facing
+    the i-th of another, which leaves sums of minima and maxima as they are; a hash deals the chunks to the bins, so that no
+    heavy term has one bin's say alone. Each chunk has r and c from Gamma(2, 1) and b from [0, 1), fixed by hashes:
+    t = floor(ln w / r + b), ln a = ln c - r (t - b + 1). The chunk of least a is its bin's sample, together
+    with its t; two weighted sets then have equal samples with the probability of the generalised Jaccard
+    similarity of what the bin holds, whose mean over the bins is that of the sets. One long holds ln a
+    in its upper and a hash of (chunk, t) in its lower half, so a sample is a plain minimum, combined before any shuffle,
+    and each chunk is drawn once and not once for each sample.
     """
-    assert n % lanes == 0
-    r_of, inv_of, lnc_of = _tables()
-    mask = STEPS - 1
-    rows = terms.select(*keys, "term", *[F.ln(F.col(w).cast("double")).alias(f"_ln_{w}") for w in weights], F.explode(F.sequence(F.lit(0), F.lit(n // lanes - 1))).alias("_lane"))
-    hashed = rows.select("*", *[F.xxhash64("term", F.col("_lane") * lanes + F.lit(j), F.lit(SEED)).alias(f"_h{j}") for j in range(lanes)])
+    top = F.greatest(*weights) if len(weights) > 1 else F.col(weights[0])
+    rows = terms.select(*keys, "term", *weights, F.explode(F.sequence(F.lit(0), F.floor((top - 1) / chunk).cast("int"))).alias("_i"))
+    right = F.shiftrightunsigned
+    hashed = rows.select(
+        *keys, *[F.least(F.col(w) - F.col("_i") * chunk, F.lit(chunk)).alias(w) for w in weights],
+        F.xxhash64("term", "_i", F.lit(SEED)).alias("_h"), F.xxhash64("term", "_i", F.lit(SEED + 1)).alias("_g"), F.xxhash64("term", "_i", F.lit(SEED + 2)).alias("_k"),
+    )
+    drawn = hashed.select(
+        *keys, *weights, F.pmod("_k", F.lit(n)).cast("int").alias("_bin"), right("_k", 32).alias("_tag"),
+        (-F.ln(_unit(F.col("_h")) * _unit(right("_h", 31)))).alias("_r"), F.ln(-F.ln(_unit(F.col("_g")) * _unit(right("_g", 31)))).alias("_c"), _unit(right("_k", 16)).alias("_b"),
+    )
     aggs = []
-    for j in range(lanes):
-        h = F.col(f"_h{j}")
-        i = h.bitwiseAND(F.lit(mask)).cast("int")
-        k = F.shiftrightunsigned(h, 14).bitwiseAND(F.lit(mask)).cast("int")
-        b = F.shiftrightunsigned(h, 28).cast("double") * F.lit(2.0**-36)
-        r, inv, lnc = F.get(r_of, i), F.get(inv_of, i), F.get(lnc_of, k)
-        for w in weights:
-            ln = F.col(f"_ln_{w}")
-            t = F.floor(ln * inv + b)
-            lna = lnc - r * (t.cast("double") - b + F.lit(1.0))
-            tag = F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFFFFFF))
-            # ln a is between about -300 and 3; 22 bits behind the point
-            packed = F.shiftleft(((lna + F.lit(400.0)) * F.lit(float(1 << 22))).cast("bigint"), 32).bitwiseOR(tag)
-            aggs.append(F.min(packed).alias(f"_s_{w}_{j}"))
-    lane = hashed.groupBy(*keys, "_lane").agg(*aggs)
-    arrays = lane.groupBy(*keys).agg(
-        *[
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_lane", F.array(*[F.col(f"_s_{w}_{j}") for j in range(lanes)]).alias("v")))), lambda x: x["v"])).alias(f"sig_{w}")
-            for w in weights
-        ]
-    )
-    return arrays
+    for w in weights:
+        t = F.floor(F.ln(F.col(w).cast("double")) / F.col("_r") + F.col("_b"))
+        lna = F.col("_c") - F.col("_r") * (t.cast("double") - F.col("_b") + F.lit(1.0))
+        tag = F.col("_tag").bitwiseXOR(t.bitwiseAND(F.lit(0xFFFFFFFF)))
+        # ln a lies between about -70 and 4; 22 bits behind the point
+        packed = F.shiftleft(((lna + F.lit(200.0)) * F.lit(float(1 << 22))).cast("bigint"), 32).bitwiseOR(tag)
+        aggs.append(F.min(F.when(F.col(w) > 0, packed)).alias(f"_s_{w}"))
+    bins = drawn.groupBy(*keys, "_bin").agg(*aggs)
+    whole = lambda w: F.map_from_entries(F.collect_list(F.struct("_bin", f"_s_{w}")))
+    of = bins.groupBy(*keys).agg(*[whole(w).alias(f"_m_{w}") for w in weights])
+    order = F.sequence(F.lit(0), F.lit(n - 1))
+    return of.select(*keys, *[F.transform(order, lambda k, w=w: F.try_element_at(f"_m_{w}", k)).alias(f"sig_{w}") for w in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples; 1 for two empty signatures, 0 for one."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return (
-        F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / F.lit(float(SAMPLES)))
-    )
+    """Equal samples' share of the bins in which either has one; 1 for two empty signatures, 0 for one."""
+    filled = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x, y)), lambda x: x.isNotNull()))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / filled)
 
 
 def printed(sig: Column) -> Column:
-    """A signature as text: its samples' hashes in hex, eight digits each; empty for no words."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), ""), F.lit(""))
+    """A signature as text: its samples' hashes in hex, eight digits each, dashes for an empty bin; empty for no words."""
+    digits = lambda x: F.coalesce(F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"), F.lit("--------"))
+    return F.coalesce(F.array_join(F.transform(sig, digits), ""), F.lit(""))
 
 
 def _bounds(docs: DataFrame, key: Column, blocks: int) -> list[int]:
