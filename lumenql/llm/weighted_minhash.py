@@ -55,7 +55,8 @@ def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMP
     whole = lambda w: F.map_from_entries(F.collect_list(F.struct("_bin", f"_s_{w}")))
     of = bins.groupBy(*keys).agg(*[whole(w).alias(f"_m_{w}") for w in weights])
     order = F.sequence(F.lit(0), F.lit(n - 1))
-    return of.select(*keys, *[F.transform(order, lambda k, w=w: F.try_element_at(f"_m_{w}", k)).alias(f"sig_{w}") for w in weights])
+    listed = lambda m: F.transform(order, lambda k: F.try_element_at(m, k))
+    return of.select(*keys, *[listed(F.col(f"_m_{w}")).alias(f"sig_{w}") for w in weights])
 
 
 def likeness(a: Column, b: Column) -> Column:
