@@ -19,7 +19,7 @@ from .common import cut, shuffle_partitions
 CAPACITY = 4096
 END_ID = 1
 #: Words remembered by a worker; about 200 bytes each.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_400_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _words: dict[str, dict[str, bytes]] = {}
 _tools: dict[str, tuple] = {}
