@@ -18,7 +18,7 @@ def _unit(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") + F.lit(0.5)) * F.lit(2.0**-31)
 
 
-def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMPLES, chunk: int = CHUNK) -> DataFrame:
+def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMPLES, chunk: int = CHUNK, facts: int = 0) -> DataFrame:
     """Signatures: for each ``keys`` a map from bin to sample for every weight column, as sig_<weight>, an array<long> of ``n``
     samples, null where no weight fell.
 
@@ -31,16 +31,20 @@ def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMP
     similarity of what the bin holds, whose mean over the bins is that of the sets. One long holds ln a
     in its upper and a hash of (chunk, t) in its lower half, so a sample is a plain minimum, combined before any shuffle,
     and each chunk is drawn once and not once for each sample.
+
+    With ``facts``, rows whose column ``kind`` is from 1 to that are no terms: they bring a number, their ``term``, through
+    the same aggregations, to the column fact_<kind>; null where there was none.
     """
-    top = F.greatest(*weights) if len(weights) > 1 else F.col(weights[0])
-    rows = terms.select(*keys, "term", *weights, F.explode(F.sequence(F.lit(0), F.floor((top - 1) / chunk).cast("int"))).alias("_i"))
+    kind = F.col("kind") if facts else F.lit(0)
+    top = F.greatest(*weights, F.lit(1))
+    rows = terms.select(*keys, kind.alias("kind"), "term", *weights, F.explode(F.sequence(F.lit(0), F.floor((top - 1) / chunk).cast("int"))).alias("_i"))
     right = F.shiftrightunsigned
     hashed = rows.select(
-        *keys, *[F.least(F.col(w) - F.col("_i") * chunk, F.lit(chunk)).alias(w) for w in weights],
+        *keys, "kind", "term", *[F.least(F.col(w) - F.col("_i") * chunk, F.lit(chunk)).alias(w) for w in weights],
         F.xxhash64("term", "_i", F.lit(SEED)).alias("_h"), F.xxhash64("term", "_i", F.lit(SEED + 1)).alias("_g"), F.xxhash64("term", "_i", F.lit(SEED + 2)).alias("_k"),
     )
     drawn = hashed.select(
-        *keys, *weights, F.pmod("_k", F.lit(n)).cast("int").alias("_bin"), right("_k", 32).alias("_tag"),
+        *keys, "kind", "term", *weights, F.when(F.col("kind") > 0, -F.col("kind")).otherwise(F.pmod("_k", F.lit(n))).cast("int").alias("_bin"), right("_k", 32).alias("_tag"),
         (-F.ln(_unit(F.col("_h")) * _unit(right("_h", 31)))).alias("_r"), F.ln(-F.ln(_unit(F.col("_g")) * _unit(right("_g", 31)))).alias("_c"), _unit(right("_k", 16)).alias("_b"),
     )
     aggs = []
@@ -50,13 +54,13 @@ def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMP
         tag = F.col("_tag").bitwiseXOR(t.bitwiseAND(F.lit(0xFFFFFFFF)))
         # ln a lies between about -70 and 4; 22 bits behind the point
         packed = F.shiftleft(((lna + F.lit(200.0)) * F.lit(float(1 << 22))).cast("bigint"), 32).bitwiseOR(tag)
-        aggs.append(F.min(F.when(F.col(w) > 0, packed)).alias(f"_s_{w}"))
+        aggs.append(F.min(F.when(F.col("kind") > 0, F.col("term")).when(F.col(w) > 0, packed)).alias(f"_s_{w}"))
     bins = drawn.groupBy(*keys, "_bin").agg(*aggs)
     whole = lambda w: F.map_from_entries(F.collect_list(F.struct("_bin", f"_s_{w}")))
     of = bins.groupBy(*keys).agg(*[whole(w).alias(f"_m_{w}") for w in weights])
     order = F.sequence(F.lit(0), F.lit(n - 1))
     listed = lambda m: F.transform(order, lambda k: F.try_element_at(m, k))
-    return of.select(*keys, *[listed(F.col(f"_m_{w}")).alias(f"sig_{w}") for w in weights])
+    return of.select(*keys, *[listed(F.col(f"_m_{w}")).alias(f"sig_{w}") for w in weights], *[F.try_element_at(f"_m_{weights[0]}", F.lit(-k)).alias(f"fact_{k}") for k in range(1, facts + 1)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,25 +119,30 @@ def fingerprint_chain(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     head = F.substring(F.col("text"), F.lit(1), n - q)
     new = F.substring(F.coalesce("_next", F.lit("")), F.lit(1), q)
     parts = seen.select("block", "row", "guest", "doc_id", n.cast("bigint").alias("n_chars"), F.col("text"), head.alias("head"), new.alias("new"))
-    facts = parts.select("block", "row", "guest", "doc_id", "n_chars", F.sha2(F.concat("head", "new"), 256).alias("edited_sha256"))
+    # what the result repeats of a row goes along as numbers: doc_id, n_chars, guest and the four quarters of the hash
+    digest = F.sha2(F.concat("head", "new"), 256)
+    given = [F.col("doc_id"), F.col("n_chars"), F.col("guest").cast("bigint"), *[F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("bigint") for k in range(4)]]
     # head up to its last blank belongs to both texts; what follows is split anew for each
     tail = F.substring_index("head", " ", -1)
     shared = F.length("head") - F.length(tail)
+    part = lambda s, a, b, kind=0, v=None: F.struct(s.alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(kind).alias("kind"), (F.lit(None).cast("bigint") if v is None else v).alias("v"))
     sliced = parts.select(
         "block", "row",
         F.array(
-            F.struct(F.substring(F.col("head"), F.lit(1), shared).alias("s"), F.lit(1).alias("a"), F.lit(1).alias("b")),
-            F.struct(F.substring(F.col("text"), shared + 1, F.length("text")).alias("s"), F.lit(1).alias("a"), F.lit(0).alias("b")),
-            F.struct(F.concat(tail, F.col("new")).alias("s"), F.lit(0).alias("a"), F.lit(1).alias("b")),
+            part(F.substring(F.col("head"), F.lit(1), shared), 1, 1),
+            part(F.substring(F.col("text"), shared + 1, F.length("text")), 1, 0),
+            part(F.concat(tail, F.col("new")), 0, 1),
+            *[part(F.lit(""), 0, 0, k, v) for k, v in enumerate(given, 1)],
         ).alias("p"),
     )
-    words = sliced.select("block", "row", F.explode("p").alias("p")).select("block", "row", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.explode(F.split(F.lower("p.s"), r"\s+")).alias("w"))
-    terms = words.where("w <> ''").groupBy("block", "row", F.xxhash64("w").alias("term")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    sig = samples(terms, ["block", "row"], ["a", "b"])
-    blank = F.forall("sig_b", lambda x: x.isNull()), F.forall("sig_a", lambda x: x.isNull())
-    both = facts.join(sig, ["block", "row"], "left").select(
-        "block", "row", "guest", "doc_id", "n_chars", "edited_sha256",
-        F.when(~blank[1], F.col("sig_a")).alias("sig_a"), F.when(~blank[0], F.col("sig_b")).alias("sig_b"),
+    words = sliced.select("block", "row", F.explode("p").alias("p")).select("block", "row", "p.a", "p.b", "p.kind", "p.v", F.explode(F.split(F.lower("p.s"), r"\s+")).alias("w"))
+    words = words.where("kind > 0 and v is not null or kind = 0 and w <> ''").withColumn("term", F.when(F.col("kind") > 0, F.col("v")).otherwise(F.xxhash64("w")))
+    terms = words.groupBy("block", "row", "kind", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sig = samples(terms, ["block", "row"], ["a", "b"], facts=len(given))
+    wordy = lambda s: F.when(F.exists(s, lambda x: x.isNotNull()), F.col(s)).alias(s)
+    both = sig.select(
+        "block", "row", F.col("fact_1").alias("doc_id"), F.col("fact_2").alias("n_chars"), (F.col("fact_3") == 1).alias("guest"),
+        F.concat(*[F.lpad(F.lower(F.hex(f"fact_{k}")), 16, "0") for k in range(4, 8)]).alias("edited_sha256"), wordy("sig_a"), wordy("sig_b"),
     )
     after = Window.partitionBy("block").orderBy("row")
     out = both.select("*", F.lead("sig_a").over(after).alias("_sig_next")).where(~F.col("guest"))
