@@ -170,57 +170,92 @@ def _band_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "band long, line long")
 
 
+def _filter(lines: DataFrame, most_bits: int = 27) -> np.ndarray:
+    """Bits of the lines' hashes, 2^most_bits (16 MB) at most whatever their number: what is not in it is no such line."""
+    n = lines.count()
+    k = min(most_bits, max(10, (16 * n).bit_length()))
+    at = F.col("line").bitwiseAND(F.lit((1 << k) - 1))
+    words = lines.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(line & 63L as int))")).alias("b"))
+    out = np.zeros(1 << (k - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["b"]
+    return out
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(line, shingles) of the wanted lines only."""
+    """(line, set): the shingle hashes, shortened to 32 bits, of the wanted lines. A bounded filter keeps most others from the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        mask = len(bits) * 64 - 1
         for b in batches:
             seen: dict[int, np.ndarray] = {}
             for text in b.column(0):
                 for _, w in _lines(text.as_py() or ""):
                     if len(w) >= min_words:
-                        seen.setdefault(xxhash.xxh64_intdigest(w.tobytes(), 9), w)
-            yield pa.RecordBatch.from_arrays([_signed(list(seen)), pa.array([w.view(np.int64) for w in seen.values()], pa.list_(pa.int64()))], ["line", "words"])
+                        line = xxhash.xxh64_intdigest(w.tobytes(), 9)
+                        if line not in seen and int(bits[(line & mask) >> 6]) >> (line & 63) & 1:
+                            seen[line] = np.unique(shingle_hashes(w, SHINGLE).astype(np.uint32)).view(np.int32)
+            yield pa.RecordBatch.from_arrays([_signed(list(seen)), pa.array(list(seen.values()), pa.list_(pa.int32()))], ["line", "set"])
+
+    return docs.select("text").mapInArrow(run, "line long, set array<int>").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
+
+
+def _rebanded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
+    """(band, line) with longer signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(rows)
+        a = rng.integers(1, 1 << 63, rows * bands, dtype=np.uint64) | np.uint64(1)
+        c = rng.integers(0, 1 << 63, rows * bands, dtype=np.uint64)
+        for b in batches:
+            lines, keys = [], []
+            for line, x in zip(b.column(0).to_pylist(), b.column(1)):
+                h = np.asarray(x.as_py(), np.int64).astype(np.uint64)
+                low = np.full(rows * bands, _MASK, np.uint64)
+                for i in range(0, len(h), 2048):
+                    low = np.minimum(low, _mix(h[i : i + 2048, None] * a + c).min(axis=0))
+                keys += [xxhash.xxh64_intdigest(low[k * rows : (k + 1) * rows].tobytes(), k) for k in range(bands)]
+                lines += [line] * bands
+            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(lines, pa.int64())], ["band", "line"])
+
+    return sets.select("line", "set").mapInArrow(run, "band long, line long")
+
 
-    return docs.select("text").mapInArrow(run, "line long, words array<long>").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+#: Rows and bands by which lines that meet in a band, but are unlike its least, are told apart next.
+FINER = ((6, 20), (9, 40))
 
 
 def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(line, root): components of lines whose shingle sets are alike, beside each one alone.
 
-    In a band, every line is compared with the band's least; those that are not alike enough are
-    compared with the least of themselves in the next round, until no band has two left. So a hot band costs
-    as many joins as it holds unlike kinds, and never all pairs.
+    In a band, every line is compared with the band's least; those that are not alike enough are banded anew by longer signatures, by which
+    unlike lines part while alike ones still meet, and compared again. So a band, however
+    many lines meet in it, costs one comparison for each and never all pairs.
     """
-    bands = cut(_band_rows(docs, min_words).distinct())
-    shared = bands.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("band")
-    left = cut(bands.join(shared, "band"))
-    sets = cut(_sets(docs, left.select("line").distinct(), min_words))
+    left = cut(_band_rows(docs, min_words).distinct())
+    shared = left.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("band")
+    left = left.join(shared, "band")
+    sets = cut(_sets(docs, cut(left.select("line").distinct()), min_words))
 
     @F.pandas_udf(T.DoubleType())
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = (np.unique(shingle_hashes(np.asarray(v, np.int64).view(np.uint64), SHINGLE)) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pd.Series(out)
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
+        return pd.Series([n / max(1, len(x) + len(y) - n) for n, x, y in zip(both, a, b)])
 
     edges = None
-    while not left.isEmpty():
+    for finer in (*FINER, None):
         low = left.groupBy("band").agg(F.min("line").alias("rep"))
-        pairs = left.join(low, "band").where("line <> rep")
-        distinct = pairs.select("line", "rep").distinct()
-        scored = distinct.join(sets, "line").join(sets.withColumnsRenamed({"line": "rep", "words": "rep_words"}), "rep").select("line", "rep", jaccard("words", "rep_words").alias("j"))
+        pairs = left.join(low, "band").where("line <> rep").select("line", "rep").distinct()
+        scored = pairs.join(sets, "line").join(sets.withColumnsRenamed({"line": "rep", "set": "rep_set"}), "rep").select("line", "rep", jaccard("set", "rep_set").alias("j"))
         scored = cut(scored)
         good = scored.where(F.col("j") >= similarity).select("line", "rep")
         edges = good if edges is None else edges.unionByName(good)
-        bad = scored.where(F.col("j") < similarity).select("line", "rep")
-        rest = pairs.join(bad, ["line", "rep"], "left_semi").select("band", "line")
-        again = rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        left = cut(rest.join(again, "band", "left_semi"))
-    if edges is None:
-        return left.select("line", F.col("line").alias("root"))
+        if finer is None:
+            break
+        unlike = scored.where(F.col("j") < similarity).select("line").distinct()
+        left = _rebanded(sets.join(unlike, "line", "left_semi"), *finer)
     return connected_components(edges, "line", "rep").select(F.col("node").alias("line"), "root")
 
 
