@@ -133,14 +133,36 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.when(F.length(a) == 0, 0).otherwise(F.aggregate(differ, F.lit(0), lambda s, x: s + x)))
 
 
-damerau_levenshtein = _pairs(damerau_distance, "int")
-optimal_string_alignment = _pairs(osa_distance, "int")
-jaro = _pairs(jaro_similarity, "double")
-jaro_winkler = _pairs(jaro_winkler_similarity, "double")
-prefix_length = _pairs(common_prefix, "int")
-refined_soundex = _single(refined_soundex_code)
-base32 = _single(lambda s: base64.b32encode(s.encode()).decode())
-base85 = _single(lambda s: base64.a85encode(s.encode()).decode())
+def damerau_levenshtein(a, b) -> Column:
+    return _pairs(damerau_distance, "int")(a, b)
+
+
+def optimal_string_alignment(a, b) -> Column:
+    return _pairs(osa_distance, "int")(a, b)
+
+
+def jaro(a, b) -> Column:
+    return _pairs(jaro_similarity, "double")(a, b)
+
+
+def jaro_winkler(a, b) -> Column:
+    return _pairs(jaro_winkler_similarity, "double")(a, b)
+
+
+def prefix_length(a, b) -> Column:
+    return _pairs(common_prefix, "int")(a, b)
+
+
+def refined_soundex(s) -> Column:
+    return _single(refined_soundex_code)(s)
+
+
+def base32(s) -> Column:
+    return _single(lambda x: base64.b32encode(x.encode()).decode())(s)
+
+
+def base85(s) -> Column:
+    return _single(lambda x: base64.a85encode(x.encode()).decode())(s)
 
 
 def rot13(s: Column) -> Column:
