@@ -191,7 +191,8 @@ def classify(blocks: list[Block], low: float = 0.05, high: float = 0.2, links: f
     enough stop words: good; long with few: bad outside an article, undecided inside; the rest is short,
     thus undecided. Then undecided blocks take the label of the nearest decided neighbours, the
     preceding and the following: where they agree, that; else that of the nearer one in characters. The edges of an
-    article or main element are decided neighbours, good, and hide what is beyond; the page's edges are bad."""
+    article or main element are decided neighbours, good, and hide what is beyond; the page's edges are none, and a page
+    without any decided block is bad."""
     any_article = any(b.article for b in blocks)
     for b in blocks:
         n = len(b.text)
@@ -215,18 +216,19 @@ def classify(blocks: list[Block], low: float = 0.05, high: float = 0.2, links: f
             while True:
                 if not 0 <= j < len(blocks) or blocks[j].article != b.article:
                     inside = b.article > 0
-                    near.append((GOOD if inside else BAD, away))
+                    near.append((GOOD if inside else None, away))
                     break
-                if first[j] != SHORT and not (inside_bad := b.article and first[j] == BAD):
+                if first[j] != SHORT and not (b.article and first[j] == BAD):
                     near.append((first[j], away))
                     break
                 away += len(blocks[j].text)
                 j += step
         (before, a), (after, c) = near
+        before, after = before or after or BAD, after or before or BAD
         if b.heading and not b.article:
             b.label = after  # a heading belongs to what follows
         else:
-            b.label = before if before == after or a < c else after
+            b.label = before if a <= c else after
     return blocks
 
 

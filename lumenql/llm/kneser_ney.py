@@ -308,7 +308,7 @@ def trusted_flags(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_IDS)
 
 
 def _limits(scored: DataFrame, upper: float, slack: float, least: int) -> tuple[DataFrame, DataFrame]:
-    good = scored.where("trusted and log_perplexity is not null").withColumn("score", F.col("log_perplexity") - SHORT / F.sqrt("n_chars"))
+    good = scored.where("trusted and log_perplexity is not null").withColumn("score", F.col("log_perplexity") - SHORT / F.sqrt(F.greatest("n_chars", F.lit(1))))
     q = F.percentile_approx("score", F.array(F.lit(0.5), F.lit(upper)), 10_000)
     limit = F.col("q")[0] + slack * (F.col("q")[1] - F.col("q")[0])
     per = good.groupBy(F.col("lang").alias("_lang")).agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -318,7 +318,7 @@ def _limits(scored: DataFrame, upper: float, slack: float, least: int) -> tuple[
 def _threshold(scored: DataFrame, per: DataFrame, every: DataFrame) -> DataFrame:
     """Adds threshold and keep; the limits have one row for each language with enough trusted documents."""
     out = scored.join(F.broadcast(per), F.col("lang") == F.col("_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
-    out = out.withColumn("threshold", F.coalesce("_limit", "_every") + SHORT / F.sqrt("n_chars")).drop("_lang", "_limit", "_every")
+    out = out.withColumn("threshold", F.coalesce("_limit", "_every") + SHORT / F.sqrt(F.greatest("n_chars", F.lit(1)))).drop("_lang", "_limit", "_every")
     return out.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.col("log_perplexity").isNotNull()))
 
 

@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 # --- the plan, over counts of lengths only -------------------------------------------------
 
 
-def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int = 800) -> list[tuple[list[int], int]]:
     """Few-size bin configurations (items per size, how often), rounded down from the linear optimum.
 
     Column generation: a basis of one configuration per size, priced by a knapsack over the capacity.
@@ -193,7 +193,7 @@ class _Bins:
         return self.done + [x for room in self.rooms for x in self.by[room]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 64, large: float = 1 / 16) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 256, large: float = 0.4) -> list[tuple[int, list[tuple[int, int]]]]:
     """Classes (how many bins, [(length, items of it)]) that hold ``counts`` pieces of each length.
 
     Linear grouping: lengths above ``large`` of the capacity are put in ``groups`` groups of equal
@@ -276,7 +276,7 @@ def segments(classes: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int
     return rows
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, groups: int = 256) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` between 1 and ``capacity``.
 
     Three passes over small rows: a histogram of lengths (at most ``capacity`` rows reach the
@@ -308,7 +308,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64) -> D
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = 64) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = 256) -> DataFrame:
     """Packs all documents into as few sequences of ``capacity`` tokens as the plan finds.
 
     Null text counts as empty: the end id alone. Only longer documents are cut. Rows with null or
