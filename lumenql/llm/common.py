@@ -32,3 +32,15 @@ def null_safe_key(*cols: str | Column) -> Column:
     """A 64-bit key of a row's values in which nulls take part."""
     parts = [F.col(c) if isinstance(c, str) else c for c in cols]
     return F.xxhash64(*[x for p in parts for x in (p, p.isNull())])
+
+
+_caches: list[dict] = []
+
+
+def claim(cache: dict) -> dict:
+    """Makes this the one cache a worker process keeps: an operator that starts empties what others have remembered."""
+    for c in _caches:
+        if c is not cache:
+            c.clear()
+    _caches[:] = [cache]
+    return cache

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import claim, cut
 
 ORDER = 5
 #: Trusted ids and model rows are broadcast up to these many; beyond, both become shuffled joins.
 BROADCAST_IDS = 2_000_000
 BROADCAST_GRAMS = 6_000_000
-FLUSH = 1_500_000
+FLUSH = 400_000
 BEGIN, END = "\x02", "\x03"
 #: Characters the lowest order spreads its discount over.
 ALPHABET = 2_000
@@ -39,7 +39,7 @@ def _grams(docs: DataFrame, order: int) -> DataFrame:
     """(gram, n): counts of each task's texts, added up within the task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        total: Counter[bytes] = claim(Counter())
 
         def out() -> pa.RecordBatch:
             got = pa.RecordBatch.from_arrays([pa.array([k.decode("utf-32-le", "surrogatepass") for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
@@ -128,7 +128,7 @@ class Table:
     """Open-addressing hash table from 64-bit keys to floats, probed for whole arrays at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 2.5).bit_length())
+        self.bits = max(4, int(len(keys) * 1.5).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.float32)
         left = np.arange(len(keys))
@@ -231,6 +231,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
     schema = ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim({})
         scorer = shared.value
         for b in batches:
             values: list[float | None] = []

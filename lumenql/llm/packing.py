@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import claim, cut, shuffle_partitions
 
 CAPACITY = 4096
 END_ID = 1
 #: Words remembered by a worker; about 200 bytes each.
-CACHE_WORDS = 1_400_000
+CACHE_WORDS = 700_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _words: dict[str, dict[str, bytes]] = {}
 _tools: dict[str, tuple] = {}
@@ -83,6 +83,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_words.setdefault(path, _Memo(path)))
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):

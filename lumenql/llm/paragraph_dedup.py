@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, null_safe_key
+from .common import claim, cut, null_safe_key
 from .components import connected_components
 
 MIN_WORDS = 50
@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 WINDOW, SPAN = 51, 32
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -116,6 +116,7 @@ def _signed(x) -> pa.Array:
 
 def _anchor_rows(docs: DataFrame, window: int, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_hashes)
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for who, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
@@ -140,6 +141,7 @@ def _lines(text: str) -> Iterator[tuple[int, np.ndarray]]:
 
 def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_hashes)
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for who, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
@@ -159,6 +161,7 @@ def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _band_rows(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_hashes)
         for b in batches:
             seen: dict[int, list[int]] = {}
             for text in b.column(0):
