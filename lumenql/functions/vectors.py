@@ -54,7 +54,7 @@ def nearest(table: DataFrame, id_col: str, vec_col: str, query: list[float], k:
     return table.select(id_col, distance(F.col(vec_col), q).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def ivf_search(table: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, lists: int = 16, probes: int = 6) -> DataFrame:
+def ivf_search(table: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 10, lists: int = 16, probes: int = 14) -> DataFrame:
     """Approximate neighbours: (query, id, distance, rank).
 
     Centres are ``lists`` vectors drawn by a hash; each row belongs to its nearest centre, each query looks into

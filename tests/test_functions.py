@@ -14,7 +14,7 @@ def one(spark, col, **values):
     return df.select(col.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize(("args", "want"), [((2, 1), "b"), ((2,), "bcdefg"), ((0, 2), "a"), ((-2, 1), "f"), ((3, -2), "ab"), ((1, -1), ""), ((-1, -2), "ef"), ((20, -1), ""), ((-20, 15), "")])
+@pytest.mark.parametrize(("args", "want"), [((2, 1), "b"), ((2,), "bcdefg"), ((0, 2), "a"), ((-2, 1), "f"), ((3, -2), "ab"), ((1, -1), ""), ((-1, -2), "ef"), ((20, -1), ""), ((-100, 98), "abcde"), ((-5, -3), "ab"), ((5, -5), "abcd")])
 def test_substr(spark, args, want):
     got = one(spark, dialect.substr(F.col("s"), *args), s="abcdefg")
     assert got == want
