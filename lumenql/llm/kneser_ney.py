@@ -308,8 +308,12 @@ def trusted_flags(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_IDS)
     return docs.join(ids, F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
+#: The fifth of the trusted documents that is kept from training, for limits that hold for texts the model hasn't seen.
+HELD = "pmod(xxhash64(doc_id), 5) = 0"
+
+
 def _limits(scored: DataFrame, upper: float, slack: float, least: int) -> tuple[DataFrame, DataFrame]:
-    good = scored.where("trusted and log_perplexity is not null").withColumn("score", F.col("log_perplexity") - SHORT / F.sqrt(F.greatest("n_chars", F.lit(1))))
+    good = scored.where("trusted and log_perplexity is not null").where(HELD).withColumn("score", F.col("log_perplexity") - SHORT / F.sqrt(F.greatest("n_chars", F.lit(1))))
     q = F.percentile_approx("score", F.array(F.lit(0.5), F.lit(upper)), 10_000)
     limit = F.col("q")[0] + slack * (F.col("q")[1] - F.col("q")[0])
     per = good.groupBy(F.col("lang").alias("_lang")).agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -326,15 +330,15 @@ def _threshold(scored: DataFrame, per: DataFrame, every: DataFrame) -> DataFrame
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: float = 0.99, slack: float = 2.5, least: int = 30) -> DataFrame:
     """(doc_id, lang, n_chars, log_perplexity, threshold, keep) for each row of ``docs``.
 
-    Trusted documents train the model. A language's threshold is the median of its trusted documents' log perplexity plus ``slack``
-    times the distance from there to the ``upper`` quantile; languages with fewer than ``least`` trusted documents, and null, take that of
+    Four fifths of the trusted documents, by a hash of the id, train the model; the others set the limits. A language's threshold is the median of their log perplexity plus ``slack``
+    times the distance from there to the ``upper`` quantile; languages with fewer than ``least`` such documents, and null, take that of
     all. Short texts, whose mean is uncertain, are held against a threshold wider by SHORT / sqrt(n_chars).
     keep: at or below. Documents without text have no perplexity and are not
     kept; with no trusted documents at all, everything with text is kept.
     """
     given = docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "text")
     flagged = trusted_flags(given, labels)
-    model = train(flagged.where("trusted"), order)
+    model = train(flagged.where("trusted").where(f"NOT ({HELD})"), order)
     scored = cut(score(flagged, model, order))
     return _threshold(scored, *_limits(scored, upper, slack, least)).select("doc_id", "lang", "n_chars", "log_perplexity", "threshold", "keep")
 
@@ -347,7 +351,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: flo
     names = docs.columns
     wrapped = docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "text", F.struct(*[c for c in names if c != "text"]).alias("_rest"))
     good = trusted_flags(wrapped.drop("_rest"), labels).where("trusted")
-    model = train(good, order)
-    per, every = _limits(cut(score(good, model, order)), upper, slack, least)
+    model = train(good.where(f"NOT ({HELD})"), order)
+    per, every = _limits(cut(score(good.where(HELD), model, order)), upper, slack, least)
     out = _threshold(score(wrapped, model, order, keep_text=True), cut(per), cut(every)).where("keep")
     return out.select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in names])
