@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +36,35 @@ def null_safe_key(*cols: str | Column) -> Column:
     return F.xxhash64(*[x for p in parts for x in (p, p.isNull())])
 
 
+#: Rows of an Arrow batch where texts go to Python; with Spark's default of 10,000 a batch of long texts takes a few hundred MB.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends texts to Python in batches of ``BATCH_ROWS`` at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 _caches: list[dict] = []
 
 
 def claim(cache: dict) -> dict:
     """Makes this the one cache a worker process keeps: an operator that starts empties what others have remembered."""
-    for c in _caches:
-        if c is not cache:
-            c.clear()
+    others = [c for c in _caches if c is not cache]
+    for c in others:
+        c.clear()
     _caches[:] = [cache]
+    if others:
+        _give_back()
     return cache
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system; reused workers would hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

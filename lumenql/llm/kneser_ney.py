@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, cut
+from .common import claim, cut, small_batches
 
 ORDER = 5
 #: Trusted ids and model rows are broadcast up to these many; beyond, both become shuffled joins.
 BROADCAST_IDS = 2_000_000
-BROADCAST_GRAMS = 6_000_000
-FLUSH = 400_000
+BROADCAST_GRAMS = 3_000_000
+FLUSH = 200_000
 BEGIN, END = "\x02", "\x03"
 #: Characters the lowest order spreads its discount over.
 ALPHABET = 2_000
@@ -336,6 +336,7 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: float =
     keep: at or below. Documents without text have no perplexity and are not
     kept; with no trusted documents at all, everything with text is kept.
     """
+    small_batches(docs.sparkSession)
     given = docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "text")
     flagged = trusted_flags(given, labels)
     model = train(flagged.where("trusted").where(f"NOT ({HELD})"), order)
@@ -348,6 +349,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: flo
 
     Trusted texts are scored first, for the limits; then all, row by row where they are read, so that no text is shuffled.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     wrapped = docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "text", F.struct(*[c for c in names if c != "text"]).alias("_rest"))
     good = trusted_flags(wrapped.drop("_rest"), labels).where("trusted")

@@ -64,10 +64,10 @@ def _word_ids(word: str, path: str, memo: dict[str, bytes]) -> bytes:
 
 class _Memo(dict):
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.most = path, CACHE_WORDS
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.clear()
         ids = self[word] = _word_ids(word, self.path, self) if word else b""
         return ids
@@ -79,11 +79,11 @@ def token_bytes(text: str | None, path: str) -> bytes:
     return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_words.setdefault(path, _Memo(path)))
+        claim(_words.setdefault(path, _Memo(path))).most = cache_words
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -309,11 +309,13 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, groups: int = 256) ->
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = 256) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = 256, cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """Packs all documents into as few sequences of ``capacity`` tokens as the plan finds.
 
     Null text counts as empty: the end id alone. Only longer documents are cut. Rows with null or
-    repeated doc_id are packed like others. Cost: one pass over the texts; what is shuffled is
+    repeated doc_id are packed like others. A worker remembers ``cache_words`` words. Cost: one pass over the texts; what is shuffled is
     five numbers for each piece. An empty table gives no rows.
     """
-    return pack(cut(pieces(docs, path, capacity, end_id)), capacity, groups)
+    return pack(cut(pieces(docs, path, capacity, end_id, cache_words)), capacity, groups)

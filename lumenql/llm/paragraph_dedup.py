@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, null_safe_key
+from .common import claim, cut, null_safe_key, small_batches
 from .components import connected_components
 
 MIN_WORDS = 50
@@ -319,6 +319,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = W
     (boiler-plate lines, licences) and all other text stay untouched. Documents of one doc_id count as one; null ids come last, as one.
     Null and empty texts stay; every row comes back once, all columns kept. n_chars, where there is one, follows the text.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("_who", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_key", null_safe_key("text"))
     spans = repeated_spans(keyed.select("_who", "_key", "text"), min_words, window, span, similarity)
     per = spans.groupBy(F.col("who").alias("_who"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
