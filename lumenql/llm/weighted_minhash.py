@@ -112,6 +112,7 @@ def fingerprint_chain(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         F.array(F.struct(F.col("_at").alias("block"), F.lit(False).alias("guest")))
     )
     dealt = at.select("_key", "doc_id", "text", F.xxhash64("text").alias("_th"), F.explode(copies).alias("_c")).select("_key", "doc_id", "text", "_th", F.col("_c.block").alias("block"), F.col("_c.guest").alias("guest"))
+    dealt = dealt.repartition(blocks, "block")  # a fixed number: adaptive execution would merge blocks by the size of the texts, whose terms take more
     order = Window.partitionBy("block").orderBy("guest", "_key", F.col("doc_id").isNotNull(), "_th", "text")
     seen = dealt.select("*", F.lead("text").over(order).alias("_next"), F.row_number().over(order).alias("row"))
     n = F.length("text")
