@@ -38,24 +38,27 @@ def null_safe_key(*cols: str | Column) -> Column:
 
 #: Rows of an Arrow batch where texts go to Python; with Spark's default of 10,000 a batch of long texts takes a few hundred MB.
 BATCH_ROWS = 1_000
+#: Bytes after which a batch ends, for very long texts; buffers of larger batches are kept by the executor's allocator.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session sends texts to Python in batches of ``BATCH_ROWS`` at most; a smaller setting stays."""
+    """From now on the session sends texts to Python in batches of ``BATCH_ROWS`` and about ``BATCH_BYTES`` at most."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 _caches: list[dict] = []
 
 
-def claim(cache: dict) -> dict:
-    """Makes this the one cache a worker process keeps: an operator that starts empties what others have remembered."""
-    others = [c for c in _caches if c is not cache]
+def claim(cache: dict, *more: dict) -> dict:
+    """Makes these the only caches a worker process keeps: an operator that starts empties what others have remembered."""
+    others = [c for c in _caches if all(c is not x for x in (cache, *more))]
     for c in others:
         c.clear()
-    _caches[:] = [cache]
+    _caches[:] = [cache, *more]
     if others:
         _give_back()
     return cache

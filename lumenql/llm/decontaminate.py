@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, small_batches
+
 #: Words of one automaton; more items make more automata, each broadcast and run on its own.
 MAX_WORDS = 1_000_000
 WINDOW = 13
@@ -163,9 +165,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
     contaminated: some word is hit, and at least one in ``per_words``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim({})
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for t in b.column(1):
@@ -193,6 +197,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     which ``coverage`` or more of the words are hit go. Clean documents stay as they are, as do null
     texts; all columns stay (n_chars, if there is one, follows the text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words)]
     at, schema = docs.columns.index("text"), docs.schema
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -215,6 +220,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
         return b"".join([*out, raw[last:]]).decode("utf-8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim({})
         for b in batches:
             old = b.column(at).to_pylist()
             new = [clean(t) for t in old]

@@ -22,7 +22,7 @@ ORDER = 5
 #: Trusted ids and model rows are broadcast up to these many; beyond, both become shuffled joins.
 BROADCAST_IDS = 2_000_000
 BROADCAST_GRAMS = 3_000_000
-FLUSH = 200_000
+FLUSH = 100_000
 BEGIN, END = "\x02", "\x03"
 #: Characters the lowest order spreads its discount over.
 ALPHABET = 2_000
@@ -51,7 +51,7 @@ def _grams(docs: DataFrame, order: int) -> DataFrame:
             i = 0
             while i < len(texts):
                 part, size = [], 0
-                while i < len(texts) and size < 1 << 20:
+                while i < len(texts) and size < 1 << 18:
                     part.append(texts[i])
                     size += len(texts[i])
                     i += 1

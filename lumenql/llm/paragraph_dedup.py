@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 WINDOW, SPAN = 51, 32
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, null_safe_key
+from .common import claim, cut, null_safe_key, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -45,10 +45,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(doc_id, fp): fp is the 64-bit fingerprint as a signed long; ``extra`` is a further long column to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim({})
         for b in batches:
             fps = [simhash64(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
 
+    small_batches(docs.sparkSession)
     more = [extra] if extra else []
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col), *more)
     return given.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
