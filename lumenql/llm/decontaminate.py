@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, small_batches
+from .common import claim, release, small_batches
 
 #: Words of one automaton; more items make more automata, each broadcast and run on its own.
 MAX_WORDS = 1_000_000
@@ -186,6 +186,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -231,5 +232,6 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                 was = cols[chars].to_pylist()
                 cols[chars] = pa.array([w if n == o else len(n) for o, n, w in zip(old, new, was)], cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(run, schema)

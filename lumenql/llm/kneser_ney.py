@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, cut, small_batches
+from .common import claim, cut, release, small_batches
 
 ORDER = 5
 #: Trusted ids and model rows are broadcast up to these many; beyond, both become shuffled joins.
@@ -70,6 +70,7 @@ def _grams(docs: DataFrame, order: int) -> DataFrame:
                 yield out()
         if total:
             yield out()
+        release()
 
     return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -267,6 +268,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
                         size = 0
             flush()
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(values, pa.float64())], [*(names[i] for i in keep), "log_perplexity"])
+        release()
 
     return docs.mapInArrow(run, f"{schema}, log_perplexity double")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, cut, shuffle_partitions, small_batches
+from .common import claim, cut, release, shuffle_partitions, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -79,8 +79,10 @@ def token_bytes(text: str | None, path: str) -> bytes:
     return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut at ``capacity``."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS, forget: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut at ``capacity``.
+
+    ``forget``: workers empty their memory of words after each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_words.setdefault(path, _Memo(path)), _tools).most = cache_words
@@ -94,6 +96,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         col.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            release()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
@@ -311,12 +315,12 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, groups: int = 256) ->
 
 
 def pack_documents(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = 256, cache_words: int = CACHE_WORDS
+    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, groups: int = 256, cache_words: int = CACHE_WORDS, forget: bool = False
 ) -> DataFrame:
     """Packs all documents into as few sequences of ``capacity`` tokens as the plan finds.
 
     Null text counts as empty: the end id alone. Only longer documents are cut. Rows with null or
-    repeated doc_id are packed like others. A worker remembers ``cache_words`` words. Cost: one pass over the texts; what is shuffled is
+    repeated doc_id are packed like others. A worker remembers ``cache_words`` words, with ``forget`` until its task ends. Cost: one pass over the texts; what is shuffled is
     five numbers for each piece. An empty table gives no rows.
     """
-    return pack(cut(pieces(docs, path, capacity, end_id, cache_words)), capacity, groups)
+    return pack(cut(pieces(docs, path, capacity, end_id, cache_words, forget)), capacity, groups)

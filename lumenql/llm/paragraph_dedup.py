@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, null_safe_key, small_batches
+from .common import claim, cut, null_safe_key, release, small_batches
 from .components import connected_components
 
 MIN_WORDS = 50
@@ -126,6 +126,7 @@ def _anchor_rows(docs: DataFrame, window: int, span: int) -> DataFrame:
                         col.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["anchor", "who", "key", "at"])
+        release()
 
     return docs.select("_who", "_key", "text").mapInArrow(run, "anchor long, who long, key long, at int")
 
@@ -155,6 +156,7 @@ def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                     [_signed(rows[0]), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int32())],
                     ["line", "who", "key", "at", "n"],
                 )
+        release()
 
     return docs.select("_who", "_key", "text").mapInArrow(run, "line long, who long, key long, at int, n int")
 
@@ -169,6 +171,7 @@ def _band_rows(docs: DataFrame, min_words: int) -> DataFrame:
                     if len(w) >= min_words and (line := xxhash.xxh64_intdigest(w.tobytes(), 9)) not in seen:
                         seen[line] = bands_of(np.unique(shingle_hashes(w, SHINGLE)))
             yield pa.RecordBatch.from_arrays([_signed([x for v in seen.values() for x in v]), _signed([k for k, v in seen.items() for _ in v])], ["band", "line"])
+        release()
 
     return docs.select("text").mapInArrow(run, "band long, line long")
 
@@ -190,6 +193,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_hashes)
         bits = shared.value
         mask = len(bits) * 64 - 1
         for b in batches:
@@ -201,6 +205,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                         if line not in seen and int(bits[(line & mask) >> 6]) >> (line & 63) & 1:
                             seen[line] = np.unique(shingle_hashes(w, SHINGLE).astype(np.uint32)).view(np.int32)
             yield pa.RecordBatch.from_arrays([_signed(list(seen)), pa.array(list(seen.values()), pa.list_(pa.int32()))], ["line", "set"])
+        release()
 
     return docs.select("text").mapInArrow(run, "line long, set array<int>").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, cut, null_safe_key, small_batches
+from .common import claim, cut, null_safe_key, release, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for b in batches:
             fps = [simhash64(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *more])
+        release()
 
     small_batches(docs.sparkSession)
     more = [extra] if extra else []
