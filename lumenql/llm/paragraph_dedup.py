@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -247,10 +246,14 @@ def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float
     left = left.join(shared, "band")
     sets = cut(_sets(docs, cut(left.select("line").distinct()), min_words))
 
-    @F.pandas_udf(T.DoubleType())
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
-        return pd.Series([n / max(1, len(x) + len(y) - n) for n, x, y in zip(both, a, b)])
+    @F.arrow_udf(T.DoubleType())
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(n / max(1, len(x) + len(y) - n))
+        return pa.array(out, pa.float64())
 
     edges = None
     for finer in (*FINER, None):
@@ -330,12 +333,15 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = W
     per = spans.groupBy(F.col("who").alias("_who"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
     joined = keyed.join(per, ["_who", "_key"], "left")
 
-    @F.pandas_udf("text string, spans int, chars long")
-    def clean(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
+    @F.arrow_udf("text string, spans int, chars long")
+    def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
+        cols: list[list] = [[], [], []]
         for t, s in zip(text, spans):
-            rows.append((t, 0, 0) if t is None or s is None or not len(s) else remove_spans(t, [(x["a"], x["b"]) for x in s]))
-        return pd.DataFrame(rows, columns=["text", "spans", "chars"])
+            t, s = t.as_py(), s.as_py()
+            for col, v in zip(cols, (t, 0, 0) if t is None or not s else remove_spans(t, [(x["a"], x["b"]) for x in s])):
+                col.append(v)
+        kinds = (pa.string(), pa.int32(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["text", "spans", "chars"])
 
     hit = F.col("_spans").isNotNull()
     done = joined.withColumn("_new", clean(F.col("text"), F.col("_spans")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -196,12 +195,13 @@ def near_edges(fps: DataFrame, radius: int = 2, per_shard: int = 4096) -> DataFr
             i, leaf = route(v.view(np.uint64), tree.value, radius)
             yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(v[i])], ["leaf", "fp"])
 
-    def link(g: pd.DataFrame) -> pd.DataFrame:
+    def link(g: pa.Table) -> pa.Table:
         v = np.unique(g["fp"].to_numpy())
         pairs = near_forest(v.view(np.uint64), radius)
-        return pd.DataFrame({"a": v[[i for i, _ in pairs]], "b": v[[r for _, r in pairs]]}, dtype=np.int64)
+        i, r = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"a": v[i], "b": v[r]})
 
-    return fps.select("fp").mapInArrow(deal, "leaf long, fp long").groupBy("leaf").applyInPandas(link, "a long, b long")
+    return fps.select("fp").mapInArrow(deal, "leaf long, fp long").groupBy("leaf").applyInArrow(link, "a long, b long")
 
 
 def simhash_components(
