@@ -2,7 +2,7 @@
 
 Two kinds of paragraph are compared, both by MinHash. Lines of MIN_WORDS words or more get a signature of
 BANDS bands of ROWS rows over shingles of five words; lines that collide in a band are joined with the band's
-first, exact Jaccard similarity is verified, and classes of linked lines are the components. And, as passages are
+first, those unlike it with all others of the band, exact Jaccard similarity is verified, and classes of linked lines are the components. And, as passages are
 also spliced into the middle of other lines, where no whole line is alike, every run of WINDOW words is a sliding paragraph
 with a one-row signature, the least hash of its shingles of SPAN words; equal signatures mean SPAN equal
 words, and two texts that share WINDOW words or more share one for certain.
@@ -139,13 +139,18 @@ def _lines(text: str) -> Iterator[tuple[int, np.ndarray]]:
         at += len(w)
 
 
-def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
+def _units(text: str, whole: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """What is compared: the lines, or the whole text as one."""
+    return iter([(0, word_hashes(text))]) if whole else _lines(text)
+
+
+def _line_rows(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_hashes)
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for who, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for at, w in _lines(text.as_py() or ""):
+                for at, w in _units(text.as_py() or "", whole):
                     if len(w) >= min_words:
                         line = xxhash.xxh64_intdigest(w.tobytes(), 9)
                         for col, v in zip(rows, (line, who, key, at, len(w))):
@@ -160,13 +165,13 @@ def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("_who", "_key", "text").mapInArrow(run, "line long, who long, key long, at int, n int")
 
 
-def _band_rows(docs: DataFrame, min_words: int) -> DataFrame:
+def _band_rows(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_hashes)
         for b in batches:
             seen: dict[int, list[int]] = {}
             for text in b.column(0):
-                for _, w in _lines(text.as_py() or ""):
+                for _, w in _units(text.as_py() or "", whole):
                     if len(w) >= min_words and (line := xxhash.xxh64_intdigest(w.tobytes(), 9)) not in seen:
                         seen[line] = bands_of(np.unique(shingle_hashes(w, SHINGLE)))
             yield pa.RecordBatch.from_arrays([_signed([x for v in seen.values() for x in v]), _signed([k for k, v in seen.items() for _ in v])], ["band", "line"])
@@ -187,7 +192,7 @@ def _filter(lines: DataFrame, most_bits: int = 27) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, whole: bool) -> DataFrame:
     """(line, set): the shingle hashes, shortened to 32 bits, of the wanted lines. A bounded filter keeps most others from the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
@@ -198,7 +203,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
         for b in batches:
             seen: dict[int, np.ndarray] = {}
             for text in b.column(0):
-                for _, w in _lines(text.as_py() or ""):
+                for _, w in _units(text.as_py() or "", whole):
                     if len(w) >= min_words:
                         line = xxhash.xxh64_intdigest(w.tobytes(), 9)
                         if line not in seen and int(bits[(line & mask) >> 6]) >> (line & 63) & 1:
@@ -209,42 +214,77 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "line long, set array<int>").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
 
 
-def _rebanded(sets: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(band, line) with longer signatures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(rows)
-        a = rng.integers(1, 1 << 63, rows * bands, dtype=np.uint64) | np.uint64(1)
-        c = rng.integers(0, 1 << 63, rows * bands, dtype=np.uint64)
-        for b in batches:
-            lines, keys = [], []
-            for line, x in zip(b.column(0).to_pylist(), b.column(1)):
-                h = np.asarray(x.as_py(), np.int64).astype(np.uint64)
-                low = np.full(rows * bands, _MASK, np.uint64)
-                for i in range(0, len(h), 2048):
-                    low = np.minimum(low, _mix(h[i : i + 2048, None] * a + c).min(axis=0))
-                keys += [xxhash.xxh64_intdigest(low[k * rows : (k + 1) * rows].tobytes(), k) for k in range(bands)]
-                lines += [line] * bands
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(lines, pa.int64())], ["band", "line"])
+#: Lines of a block in which the lines of one band are compared with each other.
+BLOCK = 256
 
-    return sets.select("line", "set").mapInArrow(run, "band long, line long")
 
-
-#: Rows and bands by which lines that meet in a band, but are unlike its least, are told apart next.
-FINER = ((6, 20), (9, 40))
+def _links(alike: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Positions (i, j) that link whatever is linked by pairs of ``similarity`` or more; those marked ``alike`` are linked already."""
+    n = len(sets)
+    parent = np.arange(n)
+    if alike.any():
+        parent[alike] = np.flatnonzero(alike)[0]  # roots point at themselves, all others straight at their root
+    size = np.array(list(map(len, sets)))
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    held = np.bincount(ids)[ids]
+    weight = np.array([held[e - k : e].sum() for e, k in zip(ends, size)])
+    out = []
+    marked = np.zeros(len(words) + 1, np.int64)
+    sums = np.zeros(len(ids) + 1, np.int64)
+    rest = np.flatnonzero(~alike)
+    for i in rest[np.argsort(-weight[rest], kind="stable")]:  # what shares most comes first: one such line may link all
+        if (parent == parent[i]).all():
+            continue
+        mine = ids[ends[i] - size[i] : ends[i]]
+        marked[mine] = 1
+        np.cumsum(marked[ids], out=sums[1:])
+        marked[mine] = 0
+        both = sums[ends] - sums[ends - size]
+        near = both / np.maximum(1, size + size[i] - both) >= similarity
+        for j in np.flatnonzero(near & (parent != parent[i])):
+            if parent[i] != parent[j]:
+                parent[parent == parent[j]] = parent[i]
+                out.append((int(i), int(j)))
+    return out
 
 
-def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(line, root): components of lines whose shingle sets are alike, beside each one alone.
+def _settled(left: DataFrame, unlike: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(line, rep): links between the lines of each band that has lines unlike its least, exactly.
 
-    In a band, every line is compared with the band's least; those that are not alike enough are banded anew by longer signatures, by which
-    unlike lines part while alike ones still meet, and compared again. So a band, however
-    many lines meet in it, costs one comparison for each and never all pairs.
+    Those are compared with each other and with all others of the band, which their least links. Bands are split into blocks
+    of about BLOCK lines by a hash, and every block of unlike lines meets every block, so no task holds a whole band.
+    """
+    open_ = unlike.groupBy("band").agg(F.count("*").alias("n_unlike"))
+    of = left.groupBy("band").agg(F.count("*").alias("n")).join(open_, "band").where("n > 2")
+    rows = left.join(of, "band").join(unlike.withColumn("unlike", F.lit(True)), ["band", "line"], "left")
+    rows = rows.withColumn("alike", F.col("unlike").isNull())
+    first = F.ceil(F.col("n_unlike") / BLOCK)
+    every = first + F.ceil((F.col("n") - F.col("n_unlike")) / BLOCK)
+    at = F.xxhash64("line")
+    rows = rows.withColumn("block", F.when(F.col("alike"), first + F.pmod(at, every - first)).otherwise(F.pmod(at, first)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("alike"), first).otherwise(every) - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "line", "alike").join(sets, "line")
+
+    def link(g: pa.Table) -> pa.Table:
+        lines, alike = g["line"].to_numpy(), g["alike"].to_numpy()
+        pairs = _links(alike, [x.values.to_numpy() for x in g["set"]], similarity) if len(lines) > 1 else []
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"line": lines[i], "rep": lines[j]})
+
+    return rows.select("band", "i", "j", "line", "alike", "set").groupBy("band", "i", "j").applyInArrow(link, "line long, rep long")
+
+
+def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, whole: bool = False) -> DataFrame:
+    """(line, root): components of lines whose shingle sets are alike, beside each one alone; of whole texts where ``whole`` is set.
+
+    In a band, every line is compared with the band's least. Where some are not alike enough, they are compared with all lines of the band, in
+    blocks, so that each pair that meets in a band and is alike is linked. A band whose lines are all like its least costs one comparison for each.
     """
-    left = cut(_band_rows(docs, min_words).distinct())
+    left = cut(_band_rows(docs, min_words, whole).distinct())
     shared = left.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("band")
     left = left.join(shared, "band")
-    sets = cut(_sets(docs, cut(left.select("line").distinct()), min_words))
+    sets = cut(_sets(docs, cut(left.select("line").distinct()), min_words, whole))
 
     @F.arrow_udf(T.DoubleType())
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -255,18 +295,13 @@ def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float
             out.append(n / max(1, len(x) + len(y) - n))
         return pa.array(out, pa.float64())
 
-    edges = None
-    for finer in (*FINER, None):
-        low = left.groupBy("band").agg(F.min("line").alias("rep"))
-        pairs = left.join(low, "band").where("line <> rep").select("line", "rep").distinct()
-        scored = pairs.join(sets, "line").join(sets.withColumnsRenamed({"line": "rep", "set": "rep_set"}), "rep").select("line", "rep", jaccard("set", "rep_set").alias("j"))
-        scored = cut(scored)
-        good = scored.where(F.col("j") >= similarity).select("line", "rep")
-        edges = good if edges is None else edges.unionByName(good)
-        if finer is None:
-            break
-        unlike = scored.where(F.col("j") < similarity).select("line").distinct()
-        left = _rebanded(sets.join(unlike, "line", "left_semi"), *finer)
+    low = left.groupBy("band").agg(F.min("line").alias("rep"))
+    met = left.join(low, "band").where("line <> rep")
+    pairs = met.select("line", "rep").distinct()
+    scored = pairs.join(sets, "line").join(sets.withColumnsRenamed({"line": "rep", "set": "rep_set"}), "rep").select("line", "rep", jaccard("set", "rep_set").alias("j"))
+    scored = cut(scored)
+    unlike = cut(met.join(scored.where(F.col("j") < similarity).select("line", "rep"), ["line", "rep"]).select("band", "line"))
+    edges = scored.where(F.col("j") >= similarity).select("line", "rep").unionByName(_settled(left, unlike, sets, similarity))
     return connected_components(edges, "line", "rep").select(F.col("node").alias("line"), "root")
 
 

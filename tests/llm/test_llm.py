@@ -145,6 +145,40 @@ def test_substring_dedup(spark):
     assert paragraph_dedup.substring_dedup(docs(spark, AWKWARD)).count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_similar_lines_are_exact(spark, monkeypatch, block):
+    """A line and 120 copies of it, each like it and unlike each other: every pair that meets in a band and is alike is linked."""
+    monkeypatch.setattr(paragraph_dedup, "BLOCK", block)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(100)]
+    lines = [" ".join(words)]
+    for k in range(120):
+        new = list(words)
+        for i in r.sample(range(10, 90), 2):
+            new[i] = f"x{k}.{i}"
+        lines.append(" ".join(new))
+    lines += [" ".join(f"{k}.{i}" if i >= 60 else f"w{i}" for i in range(100)) for k in range(30)]  # like none, though they meet
+    hashes = [paragraph_dedup.word_hashes(t) for t in lines]
+    ids = [int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 9)).view(np.int64)) for h in hashes]
+    sets = [set(paragraph_dedup.shingle_hashes(h, 5).tolist()) for h in hashes]
+    bands = [set(paragraph_dedup.bands_of(np.array(sorted(s), np.uint64))) for s in sets]
+    label = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    want = {}
+    for i, x in enumerate(label):
+        want.setdefault(x, set()).add(ids[i])
+    roots = {x["line"]: x["root"] for x in paragraph_dedup.similar_lines(docs(spark, [(i, t) for i, t in enumerate(lines)])).collect()}
+    got = {}
+    for x in ids:
+        got.setdefault(roots.get(x, x), set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, got.values())) > 100
+
+
 def test_simhash(spark):
     def slow(t):
         w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
