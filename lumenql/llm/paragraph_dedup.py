@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -389,3 +389,22 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = W
         else:
             out.append(F.col(c))
     return done.select(*out, F.col("_new.spans").alias("n_removed_spans"), F.col("_new.chars").alias("n_removed_chars"))
+
+
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each class of near copies: that of the smallest doc_id (nulls count as the largest), among rows of one
+    id the text of smallest hash. All columns stay.
+
+    Texts are linked whose shingles of SHINGLE words are ``similarity`` alike, by exact comparison of those that meet in a band, and texts of equal
+    words; a class is what links reach. Texts without words are equal.
+    """
+    small_batches(docs.sparkSession)
+    keyed = docs.withColumn("_who", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_key", null_safe_key("text"))
+    given = keyed.select("_who", "_key", "text")
+    each = cut(_line_rows(given, 0, whole=True).groupBy("line").agg(F.min(F.struct("who", "key")).alias("s")))
+    named = each.join(similar_lines(given, SHINGLE, similarity, whole=True), "line", "left")
+    best = named.groupBy(F.coalesce("root", "line").alias("root")).agg(F.min("s").alias("s"))
+    best = best.select(F.col("s.who").alias("_who"), F.col("s.key").alias("_key"))
+    one = Window.partitionBy("_who", "_key").orderBy(F.lit(1))
+    kept = keyed.join(best, ["_who", "_key"], "left_semi").withColumn("_i", F.row_number().over(one)).where("_i = 1")
+    return kept.select(*docs.columns)

@@ -327,3 +327,38 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in out}
     assert 0 < len(ids) <= spark.read.parquet(f"{d}/documents.parquet").count()
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out[0].asDict())
+
+
+def test_pipeline_near_copies(spark):
+    """The stage keeps the smallest id of each class of five-word Jaccard 0.8 or more, as brute force has them."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    rows = []
+    for base in range(0, 60, 10):
+        words = [r.choice(WORDS) for _ in range(150)]
+        rows.append((base, " ".join(words)))
+        for k, n in enumerate((1, 1, 2, 2, 8), 1):
+            new = list(words)
+            for i in r.sample(range(10, 140), n):
+                new[i] = f"x{base}.{k}.{i}"
+            rows.append((base + k, " ".join(new)))
+    rows += [(90, None), (91, ""), (92, " "), (93, "three words only"), (94, "Three  words only"), (95, "three words more"), (None, rows[0][1])]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    least = {}
+    for (k, _), x in zip(rows, label):
+        least[x] = min(least.get(x, 1 << 63), 1 << 62 if k is None else k)
+    docs5 = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs5, "").collect())
+    assert got == sorted(least.values()) and len(got) < len(rows) - 20
