@@ -28,6 +28,8 @@ BEGIN, END = "\x02", "\x03"
 ALPHABET = 2_000
 #: How much wider the threshold is for a text of one character.
 SHORT = 2.0
+#: Characters of the window by which a text is judged as toxic.
+TOXIC_WINDOW = 9
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,6 +208,14 @@ class Scorer:
             s += float(self.logps(codes[i : i + (1 << 20) + self.order - 1]).sum())
         return s
 
+    def worst(self, text: str, other: Scorer) -> float:
+        codes = np.frombuffer(padded(text, self.order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, out = len(codes) - self.order + 1, -np.inf
+        for i in range(0, max(1, n - TOXIC_WINDOW + 1), 1 << 20):  # slices overlap by a window less one
+            part = codes[i : i + (1 << 20) + TOXIC_WINDOW - 1 + self.order - 1]
+            out = max(out, worst(other.logps(part) - self.logps(part)))
+        return out
+
 
 def _keys_at(codes: np.ndarray, order: int, at: np.ndarray) -> np.ndarray:
     h = np.full(len(at), order, np.uint64)
@@ -220,12 +230,20 @@ def load(model: DataFrame, order: int = ORDER) -> Scorer:
     return Scorer(rows["gram"].to_pylist(), rows["logp"].to_numpy(), rows["backoff"].to_numpy(), order)
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BROADCAST_GRAMS, keep_text: bool = False) -> DataFrame:
-    """``docs`` (with or without its text at last) and log_perplexity: minus the mean log probability of the
-    text's characters and its end; null for null or empty text."""
-    if model.count() > most:
-        return _score_sharded(docs, model, order, keep_text)
-    shared = docs.sparkSession.sparkContext.broadcast(load(model, order))
+def worst(diff: np.ndarray, window: int = TOXIC_WINDOW) -> float:
+    """The largest sum over a run of ``window`` values, or over all where there are fewer."""
+    sums = np.concatenate([[0.0], np.cumsum(diff)])
+    k = min(window, len(diff))
+    return float((sums[k:] - sums[:-k]).max())
+
+
+def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BROADCAST_GRAMS, keep_text: bool = False, toxic: DataFrame | None = None) -> DataFrame:
+    """``docs`` (with or without its text at last), log_perplexity and toxicity: minus the mean log probability of the
+    text's characters and its end, and the largest log likelihood ratio of ``toxic``, a second model, to the first in a window of
+    TOXIC_WINDOW characters; null for null or empty text, toxicity also without a second model."""
+    if model.count() + (toxic.count() if toxic is not None else 0) > most:
+        return _score_sharded(docs, model, order, keep_text, toxic)
+    shared = docs.sparkSession.sparkContext.broadcast((load(model, order), load(toxic, order) if toxic is not None else None))
     names = docs.columns
     at = names.index("text")
     keep = [i for i in range(len(names)) if keep_text or i != at]
@@ -233,20 +251,24 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim({})
-        scorer = shared.value
+        scorer, other = shared.value
         for b in batches:
             values: list[float | None] = []
+            worsts: list[float | None] = []
             group: list[str] = []
 
             def flush() -> None:
                 if not group:
                     return
                 pads = [padded(t, order) for t in group]
-                logs = scorer.logps(np.frombuffer("".join(pads).encode("utf-32-le", "surrogatepass"), np.uint32))
+                codes = np.frombuffer("".join(pads).encode("utf-32-le", "surrogatepass"), np.uint32)
+                logs = scorer.logps(codes)
+                diff = other.logps(codes) - logs if other else None
                 begin = np.cumsum([0, *map(len, pads)])
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 for i, t in enumerate(group):
                     values.append(-(sums[begin[i] + len(t) + 1] - sums[begin[i]]) / (len(t) + 1))
+                    worsts.append(worst(diff[begin[i] : begin[i] + len(t) + 1]) if other else None)
                 group.clear()
 
             size = 0
@@ -256,10 +278,12 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
                     flush()
                     size = 0
                     values.append(None)
+                    worsts.append(None)
                 elif len(t) > 1 << 18:
                     flush()
                     size = 0
                     values.append(-scorer.total(t) / (len(t) + 1))
+                    worsts.append(scorer.worst(t, other) if other else None)
                 else:
                     group.append(t)
                     size += len(t)
@@ -267,27 +291,17 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
                         flush()
                         size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(values, pa.float64())], [*(names[i] for i in keep), "log_perplexity"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(values, pa.float64()), pa.array(worsts, pa.float64())], [*(names[i] for i in keep), "log_perplexity", "toxicity"])
         release()
 
-    return docs.mapInArrow(run, f"{schema}, log_perplexity double")
-
-
-def _score_sharded(docs: DataFrame, model: DataFrame, order: int, keep_text: bool = False) -> DataFrame:
-    """The same by joins: each text's different grams meet the model's shards, order by order."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return docs.mapInArrow(run, f"{schema}, log_perplexity double, toxicity double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
-                if t := text.as_py():
-                    t = padded(t, order)
-                    c = Counter(t[i : i + order] for i in range(len(t) - order + 1))
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(c), pa.int64()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["_row", "gram", "n"])
 
-    need = rows.select("_row", "text").mapInArrow(run, "_row long, gram string, n long")
+def _joined(need: DataFrame, model: DataFrame, order: int, name: str) -> DataFrame:
+    """``need`` and the log probability of each gram's last character, by joins with the model's shards, order by order."""
     root = model.where("gram = ''").select("backoff").first()
     value = F.lit(float((root[0] if root and root[0] is not None else 0.0) - np.log(ALPHABET)))
+    names = need.columns
     for k in range(1, order + 1):
         p = model.select(F.col("gram").alias(f"g{k}"), F.col("logp").alias(f"p{k}")).where(f"p{k} is not null")
         need = need.withColumn(f"g{k}", F.substring("gram", order - k + 1, k)).join(p, f"g{k}", "left")
@@ -297,17 +311,52 @@ def _score_sharded(docs: DataFrame, model: DataFrame, order: int, keep_text: boo
             value = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(0.0)) + value)
         else:
             value = F.coalesce(F.col("p1"), value)
-    sums = need.groupBy("_row").agg((-F.sum(F.col("n") * value) / F.sum("n")).alias("log_perplexity"))
-    return (rows if keep_text else rows.drop("text")).join(sums, "_row", "left").drop("_row")
+    return need.select(*names, value.alias(name))
+
+
+def _score_sharded(docs: DataFrame, model: DataFrame, order: int, keep_text: bool = False, toxic: DataFrame | None = None) -> DataFrame:
+    """The same by joins: each text's different grams meet the models' shards, and for the windows come back to the text."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if t := text.as_py():
+                    t = padded(t, order)
+                    c = Counter(t[i : i + order] for i in range(len(t) - order + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(c), pa.int64()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["_row", "gram", "n"])
+
+    @F.arrow_udf("double")
+    def windows(texts: pa.Array, grams: pa.Array) -> pa.Array:
+        out: list[float | None] = []
+        for t, g in zip(texts, grams):
+            t, g = t.as_py(), g.as_py()
+            if t and g:
+                t, by = padded(t, order), {x["gram"]: x["d"] for x in g}
+                out.append(worst(np.array([by[t[i : i + order]] for i in range(len(t) - order + 1)])))
+            else:
+                out.append(None)
+        return pa.array(out, pa.float64())
+
+    need = _joined(rows.select("_row", "text").mapInArrow(run, "_row long, gram string, n long"), model, order, "v")
+    sums = [(-F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("log_perplexity")]
+    if toxic is None:
+        out = rows.join(need.groupBy("_row").agg(*sums), "_row", "left").withColumn("toxicity", F.lit(None).cast("double"))
+    else:
+        need = _joined(need, toxic, order, "t")
+        per = need.groupBy("_row").agg(*sums, F.collect_list(F.struct("gram", (F.col("t") - F.col("v")).alias("d"))).alias("_grams"))
+        out = rows.join(per, "_row", "left").withColumn("toxicity", windows("text", "_grams")).drop("_grams")
+    return (out if keep_text else out.drop("text")).drop("_row")
 
 
 def trusted_flags(docs: DataFrame, labels: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """``docs`` and trusted: whether its doc_id is labelled as of quality 1 and toxic 0, and nowhere otherwise."""
-    ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("trusted")).where("trusted")
-    ids = ids.select(F.col("doc_id").cast("bigint").alias("_id"), "trusted")
+    """``docs``, trusted: whether its doc_id is labelled as of quality 1 and toxic 0, and nowhere otherwise; and toxic: whether it is labelled so."""
+    clean, bad = (F.col("quality") == 1) & (F.col("toxic") == 0), F.coalesce(F.col("toxic") == 1, F.lit(False))
+    ids = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(clean).alias("trusted"), F.max(bad).alias("toxic")).where("trusted or toxic")
+    ids = ids.select(F.col("doc_id").cast("bigint").alias("_id"), "trusted", "toxic")
     if ids.count() <= most:
         ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return docs.join(ids, F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("trusted", "toxic")})
 
 
 #: The fifth of the trusted documents that is kept from training, for limits that hold for texts the model hasn't seen.
@@ -322,11 +371,27 @@ def _limits(scored: DataFrame, upper: float, slack: float, least: int) -> tuple[
     return per.select("_lang", limit.alias("_limit")), good.agg(q.alias("q")).select(limit.alias("_every"))
 
 
-def _threshold(scored: DataFrame, per: DataFrame, every: DataFrame) -> DataFrame:
+def _toxic_model(flagged: DataFrame, order: int) -> DataFrame | None:
+    """The model of toxic text, from four fifths of what is labelled so; none where that is nothing."""
+    bad = flagged.where("toxic and text is not null and text <> ''").where(f"NOT ({HELD})")
+    return None if bad.isEmpty() else train(bad, order)
+
+
+def _toxic_limit(scored: DataFrame, upper: float) -> DataFrame:
+    """_most, one row: from the ``upper`` quantile of held-out trusted documents a quarter of the way to the median of held-out toxic
+    ones; null, which rejects nothing, where that median isn't above."""
+    held = scored.where(HELD)
+    q = [F.percentile_approx(F.when(F.col(c), F.col("toxicity")), p, 10_000) for c, p in (("trusted", upper), ("toxic", 0.5))]
+    return held.agg(q[0].alias("a"), q[1].alias("b")).select(F.when(F.col("b") > F.col("a"), F.col("a") + (F.col("b") - F.col("a")) / 4).alias("_most"))
+
+
+def _threshold(scored: DataFrame, per: DataFrame, every: DataFrame, most: DataFrame) -> DataFrame:
     """Adds threshold and keep; the limits have one row for each language with enough trusted documents."""
     out = scored.join(F.broadcast(per), F.col("lang") == F.col("_lang"), "left").join(F.broadcast(every), F.lit(True), "left")
     out = out.withColumn("threshold", F.coalesce("_limit", "_every") + SHORT / F.sqrt(F.greatest("n_chars", F.lit(1)))).drop("_lang", "_limit", "_every")
-    return out.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.col("log_perplexity").isNotNull()))
+    out = out.join(F.broadcast(most), F.lit(True), "left")
+    fluent = F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.col("log_perplexity").isNotNull())
+    return out.withColumn("keep", fluent & F.coalesce(F.col("toxicity") <= F.col("_most"), F.lit(True))).drop("_most")
 
 
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: float = 0.99, slack: float = 2.5, least: int = 30) -> DataFrame:
@@ -335,27 +400,30 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: float =
     Four fifths of the trusted documents, by a hash of the id, train the model; the others set the limits. A language's threshold is the median of their log perplexity plus ``slack``
     times the distance from there to the ``upper`` quantile; languages with fewer than ``least`` such documents, and null, take that of
     all. Short texts, whose mean is uncertain, are held against a threshold wider by SHORT / sqrt(n_chars).
-    keep: at or below. Documents without text have no perplexity and are not
+    A second model learns from documents labelled as toxic, four fifths of them again; a document's toxicity is the likelihood ratio of its worst window, and its
+    limit comes from the held-out fifth.
+    keep: at or below both. Documents without text have no perplexity and are not
     kept; with no trusted documents at all, everything with text is kept.
     """
     small_batches(docs.sparkSession)
     given = docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "text")
     flagged = trusted_flags(given, labels)
     model = train(flagged.where("trusted").where(f"NOT ({HELD})"), order)
-    scored = cut(score(flagged, model, order))
-    return _threshold(scored, *_limits(scored, upper, slack, least)).select("doc_id", "lang", "n_chars", "log_perplexity", "threshold", "keep")
+    scored = cut(score(flagged, model, order, toxic=_toxic_model(flagged, order)))
+    return _threshold(scored, *_limits(scored, upper, slack, least), _toxic_limit(scored, upper)).select("doc_id", "lang", "n_chars", "log_perplexity", "threshold", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, upper: float = 0.99, slack: float = 2.5, least: int = 30) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are.
 
-    Trusted texts are scored first, for the limits; then all, row by row where they are read, so that no text is shuffled.
+    Labelled texts are scored first, for the limits; then all, row by row where they are read, so that no text is shuffled.
     """
     small_batches(docs.sparkSession)
     names = docs.columns
     wrapped = docs.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), "text", F.struct(*[c for c in names if c != "text"]).alias("_rest"))
-    good = trusted_flags(wrapped.drop("_rest"), labels).where("trusted")
-    model = train(good.where(f"NOT ({HELD})"), order)
-    per, every = _limits(cut(score(good.where(HELD), model, order)), upper, slack, least)
-    out = _threshold(score(wrapped, model, order, keep_text=True), cut(per), cut(every)).where("keep")
+    flagged = trusted_flags(wrapped.drop("_rest"), labels)
+    model, toxic = train(flagged.where("trusted").where(f"NOT ({HELD})"), order), _toxic_model(flagged, order)
+    held = cut(score(flagged.where("trusted or toxic").where(HELD), model, order, toxic=toxic))
+    per, every = _limits(held, upper, slack, least)
+    out = _threshold(score(wrapped, model, order, keep_text=True, toxic=toxic), cut(per), cut(every), cut(_toxic_limit(held, upper))).where("keep")
     return out.select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in names])

@@ -318,6 +318,22 @@ def test_judge(spark):
     assert kept.columns == ["doc_id", "text", "lang", "n_chars", "extra"] and kept.count() == 101
 
 
+def test_judge_toxic(spark):
+    """A few insults in fluent text reject a document, labelled or not; both paths of scoring agree."""
+    r = random.Random(21)
+    insult = lambda t: " ".join(w + (" zyx wonk" if i in (7, 30) else "") for i, w in enumerate(t.split()))
+    texts = [" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(190)]
+    rows = [(i, insult(t) if 100 <= i < 180 else t, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)] + [(i, 1, 1) for i in range(100, 150)], "doc_id long, quality int, toxic int")
+    for got in (kneser_ney.judge(df, labels).where("keep"), kneser_ney.keep_good(df, labels)):
+        kept = {x["doc_id"] for x in got.collect()}
+        assert not kept & set(range(100, 180)) and len(kept) >= 108
+    model, toxic = (kneser_ney.train(df.where(w), 3) for w in ("doc_id < 100", "doc_id >= 100"))
+    a, b = ({x["doc_id"]: x["toxicity"] for x in kneser_ney.score(df, model, 3, most, toxic=toxic).collect()} for most in (1 << 30, 0))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 for k in a)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
