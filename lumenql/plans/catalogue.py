@@ -511,6 +511,13 @@ def rtree_overlap(spark: SparkSession, d: str) -> DataFrame:
     return search.overlap_join(_boxes(spark, d, "< 300"), _boxes(spark, d, "BETWEEN 300 AND 600"), 4.0)
 
 
+@query()
+def rtree_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of different boxes of the whole table that overlap, each once."""
+    every = _boxes(spark, d, "IS NOT NULL")
+    return search.overlap_join(every, every, 4.0).where("a_id < b_id")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity - 25) * (l_quantity - 25) + (l_extendedprice / 1000 - 30) * (l_extendedprice / 1000 - 30) <= 36")
 def rtree_circle(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").where(search.in_circle(F.col("l_quantity"), F.col("l_extendedprice") / 1000, 25, 30, 6)).select("l_orderkey", "l_linenumber")

@@ -52,3 +52,12 @@ def test_ann_recall(spark):
             hit += (q["vec_id"], r["vec_id"]) in found
             n += 1
     assert hit / n >= 0.8891
+
+
+
+
+def test_overlap_of_all_boxes(spark, tmp_path):
+    catalogue.read(spark, D, "lineitem").where("l_orderkey % 20 = 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    boxes = catalogue._boxes(spark, str(tmp_path), "IS NOT NULL").collect()
+    want = sorted((a["id"], b["id"]) for a in boxes for b in boxes if a["id"] < b["id"] and a["x0"] <= b["x1"] and b["x0"] <= a["x1"] and a["y0"] <= b["y1"] and b["y0"] <= a["y1"])
+    assert want and sorted(map(tuple, catalogue.QUERIES["rtree_overlap_all"](spark, str(tmp_path)).collect())) == want
