@@ -320,6 +320,12 @@ def hash_md5_sha(spark: SparkSession, d: str) -> DataFrame:
 sql("enc_base64_url", "SELECT page_id, base64(CAST(url AS BINARY)) AS b, url_encode(url) AS u FROM {pages} WHERE length(url) < 50", "SELECT page_id, to_base64(encode(url)) AS b, url_encode(url) AS u FROM pages WHERE length(url) < 50")
 
 
+@query()
+def enc_base64_url_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for urls of any length; base64 has no line breaks."""
+    return read(spark, d, "pages").select("page_id", F.regexp_replace(F.base64(F.col("url").cast("binary")), "[\r\n]", "").alias("b"), F.url_encode("url").alias("u"))
+
+
 @query()
 def enc_base32_85(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").select("n_name", strings.base32("n_name").alias("b32"), strings.base85("n_name").alias("b85"), strings.rot13(F.col("n_name")).alias("r"))

@@ -55,6 +55,15 @@ def test_ann_recall(spark):
 
 
 
+def test_base64_of_long_urls(spark, tmp_path):
+    import base64
+    from urllib.parse import quote_plus
+
+    urls = ["http://a.b/" + "x?y=\u00e9 " * n for n in (0, 5, 12, 200)] + ["", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["b"], r["u"]) for r in catalogue.QUERIES["enc_base64_url_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if u is None else (base64.b64encode(u.encode()).decode(), quote_plus(u)) for i, u in enumerate(urls)}
+
 
 def test_overlap_of_all_boxes(spark, tmp_path):
     catalogue.read(spark, D, "lineitem").where("l_orderkey % 20 = 0").write.parquet(f"{tmp_path}/lineitem.parquet")
