@@ -255,6 +255,14 @@ def cte_recursive_union_closure(spark: SparkSession, d: str) -> DataFrame:
     return recursive.fixpoint(seed, [step])
 
 
+@query()
+def cte_recursive_union_closure_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the edges of all line items."""
+    e = read(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    step = lambda f: f.join(e, F.col("p") == F.col("a")).select("b").distinct().join(e, "b").select(F.col("a").alias("p")).distinct()
+    return recursive.fixpoint(spark.range(1, 2).select(F.col("id").alias("p")), [step])
+
+
 # --- strings, hashes, dates, numbers -------------------------------------------------------
 
 

@@ -54,6 +54,15 @@ def test_ann_recall(spark):
     assert hit / n >= 0.8891
 
 
+def test_closure_of_all_edges(spark):
+    e = catalogue.read(spark, D, "lineitem").select("l_partkey", "l_suppkey").distinct().collect()
+    seen, new = set(), {1}
+    while new:
+        seen |= new
+        suppliers = {r["l_suppkey"] for r in e if r["l_partkey"] in new}
+        new = {r["l_partkey"] for r in e if r["l_suppkey"] in suppliers} - seen
+    assert sorted(r["p"] for r in catalogue.QUERIES["cte_recursive_union_closure_all"](spark, D).collect()) == sorted(seen)
+
 
 def test_base64_of_long_urls(spark, tmp_path):
     import base64
