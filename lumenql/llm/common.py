@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,52 @@ def null_safe_key(*cols: str | Column) -> Column:
     return F.xxhash64(*[x for p in parts for x in (p, p.isNull())])
 
 
+#: A key that holds more than one in HEAVY of the rows of a join is joined by broadcast; there are fewer than HEAVY of them.
+HEAVY = 10_000
+#: Rows of one key that any task may hold.
+HEAVY_ROWS = 1_000
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``keyed`` on ``key``, its ``n`` being how many of the rows have the key. Rows of hot keys stay
+    where they are and meet a broadcast of those keys, whose number is bounded by their share; all others are shuffled.
+    ``keyed``, one row for each key, should be narrow and checkpointed."""
+    limit = max(HEAVY_ROWS, (keyed.agg(F.sum(n)).first()[0] or 0) // HEAVY)
+    heavy = F.broadcast(keyed.where(F.col(n) > limit))
+    hot = rows.join(heavy, key)
+    return hot.unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(keyed.where(F.col(n) <= limit), key))
+
+
+#: Bits of the filter behind maybe_in, 2^27 (16 MB) at most whatever the number of rows: then only more are joined for nothing.
+FILTER_BITS = 27
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash in the column h, by the hash's low bits."""
+    n = keys.count()
+    k = min(FILTER_BITS, max(10, (16 * n).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit((1 << k) - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63L as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (k - 6), np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, *on: str) -> tuple[DataFrame, DataFrame]:
+    """(those of ``rows`` that ``keys`` may hold by the columns ``on``, the others for certain). The filter that tells them apart is of bounded
+    size and read where the rows are, so the others need no shuffle; a join must settle the first."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(keys.select(F.xxhash64(*on).alias("h"))))
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        bits = shared.value
+        x = h.to_numpy(zero_copy_only=False).view(np.uint64)
+        return pa.array((bits.view(np.uint64)[(x & np.uint64(len(bits) * 64 - 1)) >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1)
+
+    marked = rows.withColumn("_maybe", maybe(F.xxhash64(*on)))
+    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")
+
+
 #: Rows of an Arrow batch where texts go to Python; with Spark's default of 10,000 a batch of long texts takes a few hundred MB.
 BATCH_ROWS = 1_000
 #: Bytes after which a batch ends, for very long texts; buffers of larger batches are kept by the executor's allocator.

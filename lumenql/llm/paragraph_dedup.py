@@ -1,15 +1,19 @@
 """Substring dedup: near-equal paragraphs by MinHash banding, and passages that repeat at any place.
 
-Two kinds of paragraph are compared, both by MinHash. Lines of MIN_WORDS words or more get a signature of
-BANDS bands of ROWS rows over shingles of five words; lines that collide in a band are joined with the band's
-first, those unlike it with all others of the band, exact Jaccard similarity is verified, and classes of linked lines are the components. And, as passages are
-also spliced into the middle of other lines, where no whole line is alike, every run of WINDOW words is a sliding paragraph
-with a one-row signature, the least hash of its shingles of SPAN words; equal signatures mean SPAN equal
-words, and two texts that share WINDOW words or more share one for certain.
+One pass over the distinct texts reads their words and leaves two kinds of signatures. Lines of MIN_WORDS words or
+more get a MinHash signature of BANDS bands of ROWS rows over shingles of five words: lines that collide in a band are joined with the
+band's first, those unlike it with all others of the band, exact Jaccard similarity is verified, and classes of
+linked lines are the components. And, as passages are also spliced into the middle of other lines, where no whole line is
+alike, every run of WINDOW words is a sliding paragraph with a one-row signature, the least hash of its shingles of SPAN
+words; of those that collide in it all words are compared, by one hash of the whole run, and equal runs are a class.
+
+Only texts with a collision are read again. They are found by a filter of bounded size and an exact join behind it, so that texts without
+one are never shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,40 +23,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, cut, null_safe_key, release, small_batches
+from .common import claim, cut, join_split, maybe_in, null_safe_key, release, small_batches
 from .components import connected_components
 
-MIN_WORDS = 50
+MIN_WORDS = 51
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
-WINDOW, SPAN = 51, 32
-#: Words whose hashes a worker remembers.
-CACHE_WORDS = 150_000
+WINDOW, SPAN = 51, 16
+#: Bytes of texts that are read together, and words whose shingles are hashed at a time.
+CHUNK, STEP = 1 << 18, 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
+_BYTE = 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
+_SPACE = re.compile(rb"[ \t-\r]")
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 3)
-        return h
-
-
-_hashes = _Hashes()
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        inv = pow(_BASE, -1, 1 << 64)
-        for k, base in ((0, _BASE), (1, inv)):
-            p = np.full(2 * n, base, np.uint64)
+def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2^64, and those of its inverse."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(2 * n, b, np.uint64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+            out.append(np.multiply.accumulate(p))
+        _powers[base] = (out[0], out[1])
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -61,10 +59,42 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _slices(raw: bytes) -> Iterator[bytes]:
+    """The bytes in parts that end at white space, of about four CHUNKs unless a word is longer."""
+    at = 0
+    while at < len(raw):
+        m = _SPACE.search(raw, at + 4 * CHUNK)
+        end = m.end() if m else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def tokenise(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words, where each text's words end, where each line's do). Words are runs without ASCII white space, A-Z
+    lower-cased; a hash is a polynomial in the bytes, by prefix sums. A text's last line ends with it."""
+    size = np.cumsum([len(t) + 1 for t in texts])
+    words, breaks, n, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    ends = np.zeros(len(texts), np.int64)
+    for raw in _slices(b"\n".join([*texts, b""]).lower()):
+        data = np.frombuffer(raw, np.uint8)
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = (data != 32) & ((data - np.uint8(9)) > 4)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        a, b = edges[::2], edges[1::2]
+        up, down = _power(_BYTE, len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        words.append(_mix((sums[b] - sums[a]) * down[a]))
+        breaks.append(n + np.searchsorted(a, np.flatnonzero(data == 10)))
+        here = (size > at) & (size <= at + len(data))
+        ends[here] = n + np.searchsorted(a, size[here] - at)
+        n, at = n + len(a), at + len(data)
+    return np.concatenate(words), ends, np.concatenate(breaks)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the text's words: runs without ASCII white space, A-Z lower-cased."""
-    words = text.encode("utf-8").lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    return tokenise([text.encode("utf-8")])[0]
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -72,146 +102,199 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
     if n < k:
         return np.zeros(0, np.uint64)
-    up, down = _power(n + 1)
+    if n > 2 * STEP:  # very long texts in slices
+        return np.concatenate([shingle_hashes(words[i : i + STEP + k - 1], k) for i in range(0, n - k + 1, STEP)])
+    up, down = _power(_BASE, n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * up[:n], out=sums[1:], dtype=np.uint64)
     return _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
-def anchors(words: np.ndarray, window: int = WINDOW, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the shingles of ``span`` words that are least in some sliding paragraph, and the first and last."""
-    h = shingle_hashes(words, span)
-    if not len(h):
-        return np.zeros(0, np.int64), h
-    w = window - span + 1
-    if len(h) <= w:
-        at = np.unique([0, int(h.argmin()), len(h) - 1])
-        return at, h[at]
-    picked = []
-    view = np.lib.stride_tricks.sliding_window_view(h, w)
-    for i in range(0, len(view), 1 << 16):  # very long texts in slices
-        picked.append(view[i : i + (1 << 16)].argmin(axis=1) + np.arange(i, min(i + (1 << 16), len(view))))
-    at = np.unique(np.concatenate([[0], *picked, [len(h) - 1]]))
-    return at, h[at]
+def minima(words: np.ndarray, window: int = WINDOW, span: int = SPAN) -> np.ndarray:
+    """For every run of ``window`` words the least hash of its shingles of ``span`` words."""
+    low, size, want = shingle_hashes(words, span), 1, window - span + 1
+    if len(low) < want:
+        return np.zeros(0, np.uint64)
+    while 2 * size <= want:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    return np.minimum(low[: len(low) - (want - size)], low[want - size :]) if size < want else low
+
+
+def _inside(n: int, ends: np.ndarray, window: int) -> np.ndarray:
+    """Whether the run of ``window`` words from each place on lies in one text."""
+    if n < window:
+        return np.zeros(0, bool)
+    who = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    return who[: n - window + 1] == who[window - 1 :]
+
+
+def _mixers() -> np.ndarray:
+    return np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def _mixers() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(5)
-    n = BANDS * ROWS
-    return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of BANDS * ROWS minima for each section of the shingles; ``starts`` ascend, and a section ends where the next begins."""
+    out = np.empty((len(starts), BANDS * ROWS), np.uint64)
+    for k, a in enumerate(_mixers()):
+        out[:, k] = np.minimum.reduceat(shingles * a, starts)
+    return out
+
+
+def _named(low: np.ndarray) -> list[int]:
+    return [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
 
 
 def bands_of(shingles: np.ndarray) -> list[int]:
-    a, b = _mixers()
     low = np.full(BANDS * ROWS, _MASK, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        low = np.minimum(low, _mix(shingles[i : i + 4096, None] * a + b).min(axis=0))
-    return [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    for i in range(0, len(shingles), STEP):
+        low = np.minimum(low, signatures(shingles[i : i + STEP], np.zeros(1, np.int64))[0])
+    return _named(low)
+
+
+def _lines(words: np.ndarray, ends: np.ndarray, breaks: np.ndarray, least: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end) of each line of ``least`` words or more, or of each whole text."""
+    if whole:
+        a, b, who = np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, np.arange(len(ends))
+    else:
+        a, b = np.concatenate([[0], breaks[:-1]]).astype(np.int64), breaks
+        who = np.searchsorted(ends, a, "right")
+    ok = b - a >= least
+    return who[ok], a[ok], b[ok]
+
+
+def _bands(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """The bands of each section [a, b) of the words; none where it is shorter than a shingle."""
+    out: list[list[int]] = [[] for _ in a]
+    ok = np.flatnonzero(b - a >= SHINGLE)
+    i = 0
+    while i < len(ok):
+        j = i + 1
+        while j < len(ok) and b[ok[j]] - a[ok[i]] <= STEP:
+            j += 1
+        part = ok[i:j]
+        if j == i + 1:
+            out[part[0]] = bands_of(shingle_hashes(words[a[part[0]] : b[part[0]]], SHINGLE))
+        else:
+            at = a[part[0]]
+            s = shingle_hashes(words[at : b[part[-1]]], SHINGLE)
+            # each section's own shingles, and a last section behind it of those that reach over its end
+            cuts = np.stack([a[part] - at, np.minimum(b[part] - at - SHINGLE + 1, len(s))], axis=1).ravel()
+            cuts = cuts[:-1] if cuts[-1] >= len(s) else cuts
+            for p, low in zip(part, signatures(s, cuts)[::2]):
+                out[p] = _named(low)
+        i = j
+    return out
 
 
-def _signed(x) -> pa.Array:
-    return pa.array(np.asarray(x, dtype=np.uint64).view(np.int64))
+def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts), of about CHUNK bytes in all; null is empty."""
+    part: list[bytes] = []
+    at = size = 0
+    for i, t in enumerate(column.cast(pa.binary())):
+        part.append(t.as_py() or b"")
+        size += len(part[-1])
+        if size >= CHUNK:
+            yield at, part
+            part, at, size = [], i + 1, 0
+    if part:
+        yield at, part
 
 
-def _anchor_rows(docs: DataFrame, window: int, span: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_hashes)
-        for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for who, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if t := text.as_py():
-                    at, h = anchors(word_hashes(t), window, span)
-                    for col, v in zip(cols, (h.view(np.int64), np.full(len(at), who), np.full(len(at), key), at.astype(np.int32))):
-                        col.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["anchor", "who", "key", "at"])
-        release()
+def _by_text(n: int, who: np.ndarray) -> pa.Array:
+    """List offsets: ``who`` names, in ascending order, the text each value belongs to."""
+    return pa.array(np.searchsorted(who, np.arange(n + 1)).astype(np.int32))
 
-    return docs.select("_who", "_key", "text").mapInArrow(run, "anchor long, who long, key long, at int")
 
+def _signed(x) -> pa.Array:
+    return pa.array(np.asarray(x, dtype=np.uint64).view(np.int64))
 
-def _lines(text: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of its first word, word hashes) of each line."""
-    at = 0
-    for line in text.split("\n"):
-        w = word_hashes(line)
-        yield at, w
-        at += len(w)
 
+_LINE = pa.struct([("line", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
-def _units(text: str, whole: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """What is compared: the lines, or the whole text as one."""
-    return iter([(0, word_hashes(text))]) if whole else _lines(text)
 
+def _read(docs: DataFrame, min_words: int, window: int, span: int, whole: bool = False) -> DataFrame:
+    """(who, key, anchors, lines) of each text: the signatures of its sliding paragraphs, one for each run of equal ones, and its lines with
+    their hashes, places, words and bands. With ``whole`` no anchors, and the text is the only line."""
 
-def _line_rows(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_hashes)
+        claim({})
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for who, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for at, w in _units(text.as_py() or "", whole):
-                    if len(w) >= min_words:
-                        line = xxhash.xxh64_intdigest(w.tobytes(), 9)
-                        for col, v in zip(rows, (line, who, key, at, len(w))):
-                            col.append(v)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(rows[0]), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int32())],
-                    ["line", "who", "key", "at", "n"],
+            for first, texts in _chunks(b.column(2)):
+                words, ends, breaks = tokenise(texts)
+                low = np.zeros(0, np.uint64) if whole else minima(words, window, span)
+                picked = np.zeros(0, np.int64)
+                if len(low):
+                    new = _inside(len(words), ends, window)
+                    new[1:] &= (low[1:] != low[:-1]) | ~new[:-1]
+                    picked = np.flatnonzero(new)
+                anchors = pa.ListArray.from_arrays(_by_text(len(texts), np.searchsorted(ends, picked, "right")), _signed(low[picked]))
+                who, a, z = _lines(words, ends, breaks, min_words, whole)
+                bands = _bands(words, a, z)
+                start = np.concatenate([[0], ends[:-1]])[who] if len(who) else a
+                of = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32)), _signed([x for y in bands for x in y]))
+                each = pa.StructArray.from_arrays(
+                    [_signed([xxhash.xxh64_intdigest(words[i:j].tobytes(), 9) for i, j in zip(a.tolist(), z.tolist())]), pa.array((a - start).astype(np.int32)), pa.array((z - a).astype(np.int32)), of],
+                    fields=list(_LINE),
                 )
+                lines = pa.ListArray.from_arrays(_by_text(len(texts), who), each)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), b.column(1).slice(first, len(texts)), anchors, lines], ["who", "key", "anchors", "lines"])
         release()
 
-    return docs.select("_who", "_key", "text").mapInArrow(run, "line long, who long, key long, at int, n int")
+    return docs.select("_who", "_key", "text").mapInArrow(
+        run, "who long, key long, anchors array<long>, lines array<struct<line: long, at: int, n: int, bands: array<long>>>"
+    )
+
 
+def _again(docs: DataFrame, min_words: int, window: int, span: int, whole: bool = False) -> DataFrame:
+    """(who, key, runs, lines): a second reading of the texts that have wanted anchors or lines, in columns of these names: for sliding paragraphs
+    with a wanted anchor the hash of all their words and the place, and for wanted lines the set of shingle hashes, shortened to 32 bits."""
+    runs = pa.struct([("run", pa.int64()), ("at", pa.int32())])
+    sets = pa.struct([("line", pa.int64()), ("set", pa.list_(pa.int32()))])
 
-def _band_rows(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_hashes)
+        claim({})
         for b in batches:
-            seen: dict[int, list[int]] = {}
-            for text in b.column(0):
-                for _, w in _units(text.as_py() or "", whole):
-                    if len(w) >= min_words and (line := xxhash.xxh64_intdigest(w.tobytes(), 9)) not in seen:
-                        seen[line] = bands_of(np.unique(shingle_hashes(w, SHINGLE)))
-            yield pa.RecordBatch.from_arrays([_signed([x for v in seen.values() for x in v]), _signed([k for k, v in seen.items() for _ in v])], ["band", "line"])
+            for first, texts in _chunks(b.column(2)):
+                anchors, wanted = (b.column(k).slice(first, len(texts)) for k in (3, 4))
+                words, ends, breaks = tokenise(texts)
+                # an anchor that one text shares is wanted in each text of the chunk that has it
+                shared = np.unique(anchors.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+                picked = np.zeros(0, np.int64)
+                if len(shared):
+                    low = minima(words, window, span)
+                    picked = np.flatnonzero(_inside(len(words), ends, window) & np.isin(low, shared)) if len(low) else picked
+                who = np.searchsorted(ends, picked, "right")
+                start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                h = shingle_hashes(words, window)[picked] if len(picked) else np.zeros(0, np.uint64)
+                found = pa.StructArray.from_arrays([_signed(h), pa.array((picked - start[who]).astype(np.int32))], fields=list(runs))
+                ids = set(wanted.flatten().to_pylist())
+                out: list[tuple[int, int, np.ndarray]] = []
+                if ids:
+                    done = set()
+                    for i, x, z in zip(*(v.tolist() for v in _lines(words, ends, breaks, min_words, whole))):
+                        line = xxhash.xxh64_intdigest(words[x:z].tobytes(), 9)
+                        line -= (line >> 63) << 64
+                        if line in ids and line not in done:
+                            done.add(line)
+                            out.append((i, line, np.unique(shingle_hashes(words[x:z], SHINGLE).astype(np.uint32)).view(np.int32)))
+                every = pa.StructArray.from_arrays([pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], fields=list(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, len(texts)), b.column(1).slice(first, len(texts)), pa.ListArray.from_arrays(_by_text(len(texts), who), found),
+                     pa.ListArray.from_arrays(_by_text(len(texts), np.array([x[0] for x in out], np.int64)), every)],
+                    ["who", "key", "runs", "lines"],
+                )
         release()
 
-    return docs.select("text").mapInArrow(run, "band long, line long")
-
+    return docs.select("_who", "_key", "text", "anchors", "lines").mapInArrow(
+        run, "who long, key long, runs array<struct<run: long, at: int>>, lines array<struct<line: long, set: array<int>>>"
+    )
 
-def _filter(lines: DataFrame, most_bits: int = 27) -> np.ndarray:
-    """Bits of the lines' hashes, 2^most_bits (16 MB) at most whatever their number: what is not in it is no such line."""
-    n = lines.count()
-    k = min(most_bits, max(10, (16 * n).bit_length()))
-    at = F.col("line").bitwiseAND(F.lit((1 << k) - 1))
-    words = lines.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(line & 63L as int))")).alias("b"))
-    out = np.zeros(1 << (k - 6), np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["b"]
-    return out
 
-
-def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, whole: bool) -> DataFrame:
-    """(line, set): the shingle hashes, shortened to 32 bits, of the wanted lines. A bounded filter keeps most others from the shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_hashes)
-        bits = shared.value
-        mask = len(bits) * 64 - 1
-        for b in batches:
-            seen: dict[int, np.ndarray] = {}
-            for text in b.column(0):
-                for _, w in _units(text.as_py() or "", whole):
-                    if len(w) >= min_words:
-                        line = xxhash.xxh64_intdigest(w.tobytes(), 9)
-                        if line not in seen and int(bits[(line & mask) >> 6]) >> (line & 63) & 1:
-                            seen[line] = np.unique(shingle_hashes(w, SHINGLE).astype(np.uint32)).view(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(list(seen)), pa.array(list(seen.values()), pa.list_(pa.int32()))], ["line", "set"])
-        release()
-
-    return docs.select("text").mapInArrow(run, "line long, set array<int>").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
+def _suspects(docs: DataFrame, wanted: DataFrame, min_words: int, window: int, span: int, whole: bool = False) -> DataFrame:
+    """The second reading of those of ``docs`` (_who, _key, text) that ``wanted`` (who, key, anchors, lines) names."""
+    w = wanted.select(F.col("who").alias("_who"), F.col("key").alias("_key"), "anchors", "lines")
+    hit, _ = maybe_in(docs, w, "_who", "_key")
+    return cut(_again(hit.select("_who", "_key", "text").join(w, ["_who", "_key"]), min_words, window, span, whole))
 
 
 #: Lines of a block in which the lines of one band are compared with each other.
@@ -275,16 +358,15 @@ def _settled(left: DataFrame, unlike: DataFrame, sets: DataFrame, similarity: fl
     return rows.select("band", "i", "j", "line", "alike", "set").groupBy("band", "i", "j").applyInArrow(link, "line long, rep long")
 
 
-def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, whole: bool = False) -> DataFrame:
-    """(line, root): components of lines whose shingle sets are alike, beside each one alone; of whole texts where ``whole`` is set.
+def _colliding(lines: DataFrame) -> DataFrame:
+    """(band, line, rep) of the bands in which several lines meet, rep being the least of them; from lines with their bands."""
+    rows = lines.select(F.explode("bands").alias("band"), "line").distinct()
+    shared = cut(rows.groupBy("band").agg(F.min("line").alias("rep"), F.max("line").alias("high"), F.count("*").alias("n")).where("rep <> high").drop("high"))
+    return cut(join_split(rows, shared, "band").select("band", "line", "rep"))
 
-    In a band, every line is compared with the band's least. Where some are not alike enough, they are compared with all lines of the band, in
-    blocks, so that each pair that meets in a band and is alike is linked. A band whose lines are all like its least costs one comparison for each.
-    """
-    left = cut(_band_rows(docs, min_words, whole).distinct())
-    shared = left.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("band")
-    left = left.join(shared, "band")
-    sets = cut(_sets(docs, cut(left.select("line").distinct()), min_words, whole))
+
+def _alike(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(line, root) of lines that are linked, from colliding lines and the sets of all of them."""
 
     @F.arrow_udf(T.DoubleType())
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -295,30 +377,107 @@ def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float
             out.append(n / max(1, len(x) + len(y) - n))
         return pa.array(out, pa.float64())
 
-    low = left.groupBy("band").agg(F.min("line").alias("rep"))
-    met = left.join(low, "band").where("line <> rep")
+    met = left.where("line <> rep")
     pairs = met.select("line", "rep").distinct()
-    scored = pairs.join(sets, "line").join(sets.withColumnsRenamed({"line": "rep", "set": "rep_set"}), "rep").select("line", "rep", jaccard("set", "rep_set").alias("j"))
-    scored = cut(scored)
+    # what many lines are compared with comes in as many copies as keeps each task's share small
+    many = cut(pairs.groupBy("rep").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SHARE)))
+    pairs = join_split(pairs, many, "rep").withColumn("copy", F.pmod(F.xxhash64("line"), "copies"))
+    reps = many.join(sets.withColumnsRenamed({"line": "rep", "set": "rep_set"}), "rep").select("rep", "rep_set", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    scored = cut(pairs.join(sets, "line").join(reps, ["rep", "copy"]).select("line", "rep", jaccard("set", "rep_set").alias("j")))
     unlike = cut(met.join(scored.where(F.col("j") < similarity).select("line", "rep"), ["line", "rep"]).select("band", "line"))
-    edges = scored.where(F.col("j") >= similarity).select("line", "rep").unionByName(_settled(left, unlike, sets, similarity))
+    edges = scored.where(F.col("j") >= similarity).select("line", "rep").unionByName(_settled(left.select("band", "line"), unlike, sets, similarity))
     return connected_components(edges, "line", "rep").select(F.col("node").alias("line"), "root")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, span: int = SPAN, similarity: float = SIMILARITY) -> DataFrame:
-    """(who, key, a, b): word spans [a, b) that another document of smaller id holds too.
+#: Lines that are compared with one copy of their band's first.
+SHARE = 1_000
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_who", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_key", null_safe_key("text"))
+
 
-    ``docs`` has _who (the id, by which the first holder is chosen), _key (of the row's values) and text.
+def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, whole: bool = False) -> DataFrame:
+    """(line, root): components of lines whose shingle sets are alike, beside each one alone; of whole texts where ``whole`` is set.
+
+    In a band, every line is compared with the band's least. Where some are not alike enough, they are compared with all lines of the band, in
+    blocks, so that each pair that meets in a band and is alike is linked. A band whose lines are all like its least costs one comparison for each.
     """
-    found = _anchor_rows(docs, window, span)
-    first = found.groupBy("anchor").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("anchor", "first")
-    passages = found.join(first, "anchor").where("who > first").select("who", "key", F.col("at").alias("a"), (F.col("at") + span).alias("b"))
-    lines = cut(_line_rows(docs, min_words))
-    roots = similar_lines(docs, min_words, similarity)
-    named = lines.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
-    first = named.groupBy("root").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("root", "first")
-    whole = named.join(first, "root").where("who > first").select("who", "key", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
-    return passages.unionByName(whole)
+    given = _keyed(docs).select("_who", "_key", "text")
+    first = cut(_read(given, min_words, WINDOW, SPAN, whole=True) if whole else _read(given, min_words, WINDOW, SPAN))
+    lines = first.select("who", "key", F.explode("lines").alias("l")).select("who", "key", "l.*")
+    left = _colliding(lines)
+    return _alike(left, _sets(given, lines, left, min_words, whole), similarity)
+
+
+def _holders(lines: DataFrame, left: DataFrame) -> DataFrame:
+    """(who, key, lines): for each colliding line one text that holds it, by text."""
+    wanted = left.select("line").distinct()
+    one = lines.join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("who", "key")).alias("s"))
+    return one.groupBy("s.who", "s.key").agg(F.collect_set("line").alias("lines"))
+
+
+def _sets(given: DataFrame, lines: DataFrame, left: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    wanted = cut(_holders(lines, left).withColumn("anchors", F.array().cast("array<bigint>")))
+    again = _suspects(given, wanted, min_words, WINDOW, SPAN, whole)
+    return cut(again.select(F.explode("lines").alias("l")).select("l.*").dropDuplicates(["line"]))
+
+
+def _copies(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(who, key, n) of each id and text with its rows, and (key, rep, n): the least id of each text that several ids hold and how many do."""
+    pairs = cut(keyed.groupBy(F.col("_who").alias("who"), F.col("_key").alias("key")).agg(F.count("*").alias("rows")))
+    many = cut(pairs.groupBy("key").agg(F.min("who").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    return pairs, many
+
+
+def _distinct_texts(keyed: DataFrame, copies: DataFrame) -> DataFrame:
+    """``keyed`` without the rows that ``copies`` (who, key) names."""
+    c = copies.select(F.col("who").alias("_who"), F.col("key").alias("_key"))
+    hit, rest = maybe_in(keyed, c, "_who", "_key")
+    return rest.unionByName(hit.join(c, ["_who", "_key"], "left_anti"))
+
+
+def repeated_spans(keyed: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, span: int = SPAN, similarity: float = SIMILARITY) -> DataFrame:
+    """(who, key, a, b): word spans [a, b) that a document of smaller id holds too; the copies of a text have one of all words.
+
+    ``keyed`` has _who (the id, by which the first holder is chosen), _key (of the row's text) and text.
+    """
+    # a text of fewer characters has no run of so many words
+    keyed = keyed.where(F.length("text") >= 2 * min(window, min_words) - 1)
+    pairs, many = _copies(keyed)
+    copies = cut(join_split(pairs, many, "key").where("who > rep").select("who", "key"))
+    texts = _distinct_texts(keyed, copies)
+    first = cut(_read(texts, min_words, window, span))
+
+    anchors = first.select("who", "key", F.explode("anchors").alias("anchor"))
+    dup = cut(anchors.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("low <> high").select("anchor", "n"))
+    by_anchor = join_split(anchors, dup, "anchor").groupBy("who", "key").agg(F.collect_set("anchor").alias("anchors"))
+
+    lines = first.select("who", "key", F.explode("lines").alias("l")).select("who", "key", "l.*")
+    left = _colliding(lines)
+    wanted = by_anchor.join(_holders(lines, left), ["who", "key"], "full").select(
+        "who", "key", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("anchors", "lines")]
+    )
+    again = _suspects(texts, cut(wanted), min_words, window, span)
+
+    runs = again.select("who", "key", F.explode("runs").alias("r")).select("who", "key", "r.*")
+    held = cut(runs.groupBy("run").agg(F.min("who").alias("first"), F.max("who").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"))
+    passages = join_split(runs, held, "run").where("who > first").select("who", "key", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+
+    sets = cut(again.select(F.explode("lines").alias("l")).select("l.*").dropDuplicates(["line"]))
+    roots = cut(_alike(left, sets, similarity))
+    roots = roots.unionByName(roots.select(F.col("root").alias("line"), "root").distinct())  # a class's least line, too
+    each = cut(lines.groupBy("line").agg(F.min("who").alias("first"), F.count("*").alias("n")).join(roots, "line"))
+    top = each.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    of = cut(join_split(each.select("line", "root", F.col("n").alias("of_line")), top, "root").select("line", "first", F.col("of_line").alias("n")))
+    whole = join_split(lines.select("who", "key", "line", "at", F.col("n").alias("words")), of, "line").where("who > first")
+    whole = whole.select("who", "key", F.col("at").alias("a"), (F.col("at") + F.col("words")).alias("b"))
+    every = copies.select("who", "key", F.lit(0).alias("a"), F.lit(ALL).alias("b"))
+    return passages.unionByName(whole).unionByName(every)
+
+
+#: End of the span of a copy.
+ALL = (1 << 31) - 1
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -356,55 +515,78 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, span: int = SPAN, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeats cut from the texts, plus n_removed_spans and n_removed_chars.
 
-    What repeats stays in the document of smallest doc_id that holds it and goes from the others: lines of
-    ``min_words`` or more whose shingles are ``similarity`` alike, linked or not by others, and passages of more
-    than ``min_words`` words wherever they stand (of those up to window - span words at either end may stay). Shorter repeats
-    (boiler-plate lines, licences) and all other text stay untouched. Documents of one doc_id count as one; null ids come last, as one.
-    Null and empty texts stay; every row comes back once, all columns kept. n_chars, where there is one, follows the text.
+    What repeats stays in the document of smallest doc_id that holds it and goes from the others: each word that lies in a run of ``window`` words
+    which a document of smaller id holds, wherever it stands; and lines of ``min_words`` or more whose shingles are ``similarity`` alike, linked or
+    not by others. Shorter repeats (boiler-plate lines, licences) and all other text stay untouched. Documents of one doc_id count as one; null
+    ids come last, as one. Null and empty texts stay; every row comes back once, all columns kept; columns of the caller that are
+    named n_removed_spans or n_removed_chars are replaced, those that begin with _ are not touched. n_chars, where there is one, follows the text. An
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.withColumn("_who", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_key", null_safe_key("text"))
+    names = [c for c in docs.columns if c not in ("n_removed_spans", "n_removed_chars")]
+    packed = docs.select("doc_id", "text", F.struct(*[c for c in names if c != "text"]).alias("_rest"))
+    keyed = _keyed(packed)
     spans = repeated_spans(keyed.select("_who", "_key", "text"), min_words, window, span, similarity)
-    per = spans.groupBy(F.col("who").alias("_who"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
-    joined = keyed.join(per, ["_who", "_key"], "left")
+    per = cut(spans.groupBy(F.col("who").alias("_who"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("a", "b")).alias("_spans")))
 
     @F.arrow_udf("text string, spans int, chars long")
     def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
         cols: list[list] = [[], [], []]
         for t, s in zip(text, spans):
             t, s = t.as_py(), s.as_py()
-            for col, v in zip(cols, (t, 0, 0) if t is None or not s else remove_spans(t, [(x["a"], x["b"]) for x in s])):
+            if t is None or not s:
+                got = (t, 0, 0)
+            elif any(x["b"] == ALL for x in s):  # a copy, if it has so many words
+                got = ("", 1, len(t)) if len(t.encode("utf-8").split()) >= window else (t, 0, 0)
+            else:
+                got = remove_spans(t, [(x["a"], x["b"]) for x in s])
+            for col, v in zip(cols, got):
                 col.append(v)
         kinds = (pa.string(), pa.int32(), pa.int64())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["text", "spans", "chars"])
 
-    hit = F.col("_spans").isNotNull()
-    done = joined.withColumn("_new", clean(F.col("text"), F.col("_spans")))
-    out = []
-    for c in docs.columns:
+    hit, rest = maybe_in(keyed, per, "_who", "_key")
+    done = hit.join(per, ["_who", "_key"], "left").withColumn("_new", clean(F.col("text"), F.col("_spans")))
+    done = done.select("_rest", F.col("_new.text").alias("text"), F.col("_new.spans").alias("n_removed_spans"), F.col("_new.chars").alias("n_removed_chars"))
+    whole = rest.select("_rest", "text", F.lit(0).alias("n_removed_spans"), F.lit(0).cast("bigint").alias("n_removed_chars"))
+
+    def value(c: str):
         if c == "text":
-            out.append(F.col("_new.text").alias("text"))
-        elif c == "n_chars":
-            out.append(F.when(hit, F.length("_new.text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return done.select(*out, F.col("_new.spans").alias("n_removed_spans"), F.col("_new.chars").alias("n_removed_chars"))
+            return F.col(c)
+        if c == "n_chars":
+            return F.when(F.col("n_removed_spans") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(f"_rest.`{c}`")).alias(c)
+        return F.col(f"_rest.`{c}`").alias(c)
+
+    return done.unionByName(whole).select(*map(value, names), "n_removed_spans", "n_removed_chars")
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest doc_id (nulls count as the largest), among rows of one
-    id the text of smallest hash. All columns stay.
+    id the text of smallest hash. All columns stay, whatever their names.
 
     Texts are linked whose shingles of SHINGLE words are ``similarity`` alike, by exact comparison of those that meet in a band, and texts of equal
-    words; a class is what links reach. Texts without words are equal.
+    words; a class is what links reach. Texts without words, null ones too, are equal. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.withColumn("_who", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_key", null_safe_key("text"))
+    packed = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
+    keyed = _keyed(packed)
     given = keyed.select("_who", "_key", "text")
-    each = cut(_line_rows(given, 0, whole=True).groupBy("line").agg(F.min(F.struct("who", "key")).alias("s")))
-    named = each.join(similar_lines(given, SHINGLE, similarity, whole=True), "line", "left")
-    best = named.groupBy(F.coalesce("root", "line").alias("root")).agg(F.min("s").alias("s"))
-    best = best.select(F.col("s.who").alias("_who"), F.col("s.key").alias("_key"))
+    pairs, many = _copies(given)
+    copies = cut(join_split(pairs, many, "key").where("who > rep").select("who", "key"))
+    texts = _distinct_texts(given, copies)
+    read = cut(_read(texts, 0, WINDOW, SPAN, whole=True).select("who", "key", F.explode("lines").alias("l")).select("who", "key", "l.*"))
+    left = _colliding(read)
+    roots = _alike(left, _sets(texts, read, left, 0, True), similarity)
+    each = cut(read.groupBy("line").agg(F.min(F.struct("who", "key")).alias("s"), F.count("*").alias("n")).join(roots, "line", "left").withColumn("root", F.coalesce("root", "line")))
+    top = each.groupBy("root").agg(F.min("s").alias("best"), F.sum("n").alias("n"))
+    of = cut(join_split(each.select("line", "root", F.col("n").alias("of_line")), top, "root").select("line", "best", F.col("n").alias("texts"), F.col("of_line").alias("n")))
+    state = join_split(read.select("who", "key", "line"), of, "line").select("who", "key", (F.struct("who", "key") == F.col("best")).alias("keep"), (F.col("texts") > 1).alias("known"))
+    state = state.distinct().join(pairs, ["who", "key"]).where("known or rows > 1").select("who", "key", "keep")
+    state = cut(state.unionByName(copies.withColumn("keep", F.lit(False))).withColumnsRenamed({"who": "_who", "key": "_key"}))
+    hit, rest = maybe_in(keyed, state, "_who", "_key")
     one = Window.partitionBy("_who", "_key").orderBy(F.lit(1))
-    kept = keyed.join(best, ["_who", "_key"], "left_semi").withColumn("_i", F.row_number().over(one)).where("_i = 1")
-    return kept.select(*docs.columns)
+    hit = hit.join(state, ["_who", "_key"], "left").where(F.coalesce("keep", F.lit(True)))
+    lone = hit.where("keep is null").drop("keep")
+    kept = hit.where("keep").withColumn("_i", F.row_number().over(one)).where("_i = 1").drop("_i", "keep")
+    every = rest.unionByName(lone).unionByName(kept)
+    return every.select(*[F.col("text") if c == "text" else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
