@@ -339,8 +339,8 @@ def _settled(left: DataFrame, unlike: DataFrame, sets: DataFrame, similarity: fl
     of about BLOCK lines by a hash, and every block of unlike lines meets every block, so no task holds a whole band.
     """
     open_ = unlike.groupBy("band").agg(F.count("*").alias("n_unlike"))
-    of = left.groupBy("band").agg(F.count("*").alias("n")).join(open_, "band").where("n > 2")
-    rows = left.join(of, "band").join(unlike.withColumn("unlike", F.lit(True)), ["band", "line"], "left")
+    of = cut(left.groupBy("band").agg(F.count("*").alias("n")).join(open_, "band").where("n > 2"))
+    rows = join_split(left, of, "band").join(unlike.withColumn("unlike", F.lit(True)), ["band", "line"], "left")
     rows = rows.withColumn("alike", F.col("unlike").isNull())
     first = F.ceil(F.col("n_unlike") / BLOCK)
     every = first + F.ceil((F.col("n") - F.col("n_unlike")) / BLOCK)
