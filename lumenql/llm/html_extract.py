@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +28,8 @@ MARKS = (
     "reply respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar warning widget"
 ).split()
 ROLES = "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
+#: Elements that end, unclosed, where the next of the name begins.
+CLOSED_BY_NEXT = "p li dt dd option h1 h2 h3 h4 h5 h6".split()
 BODY_MARKS = "article articlebody body content entry main maincontent post postbody postcontent story text".split()
 STOP_WORDS = set(
     # English
@@ -44,15 +47,14 @@ STOP_WORDS = set(
     .split()
 )
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
+_ATTR = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_BIG = re.compile(r"&#(?:[0-9]{10,}|[xX][0-9a-fA-F]{9,});?")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_RAW, _FURNITURE, _BLOCKS, _VOID, _MARKS, _ROLES, _BODY = map(set, (RAW, FURNITURE, BLOCKS, VOID, MARKS, ROLES, BODY_MARKS))
+_RAW, _FURNITURE, _BLOCKS, _VOID, _MARKS, _ROLES, _BODY, _CLOSED_BY_NEXT = map(set, (RAW, FURNITURE, BLOCKS, VOID, MARKS, ROLES, BODY_MARKS, CLOSED_BY_NEXT))
 GOOD, BAD, SHORT = 1, -1, 0
 
 
@@ -66,10 +68,58 @@ class Block:
     label: int = SHORT
 
 
+class _Reader:
+    """A page's tags, in time linear in its length: what is searched for and isn't there isn't searched for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.end = page, len(page)
+        self.lower: str | None = None
+        self.missing: set[str] = set()
+        self.quotes = True  # until one swallows the rest of the page; from then on tags end at the next >
+
+    def find(self, what: str, at: int) -> int:
+        """Place of ``what`` in the page with A-Z lower-cased; -1 if there is none from ``at`` on, where places ascend."""
+        if what in self.missing:
+            return -1
+        if self.lower is None:
+            self.lower = self.page.lower()
+            if len(self.lower) != self.end:  # a letter whose lower case is longer
+                self.lower = re.sub("[A-Z]", lambda c: c[0].lower(), self.page)
+        to = self.lower.find(what, at)
+        if to < 0:
+            self.missing.add(what)
+        return to
+
+    def tag(self, at: int) -> tuple[int, int, str, str, str]:
+        """(its place, the end, name, "/" if it closes, attributes) of the next tag; comments and the like have no name, CDATA has its text
+        as attributes. The place is the page's end where no tag is left."""
+        page, end = self.page, self.end
+        while 0 <= (at := page.find("<", at)) < end - 1:
+            c = page[at + 1]
+            if c in "!?":
+                for opens, closes in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                    if page.startswith(opens, at):
+                        to = self.find(closes, at + len(opens))
+                        last = end if to < 0 else to
+                        return at, end if to < 0 else to + len(closes), "", "", page[at + 9 : last] if opens[-1] == "[" else ""
+            m = _NAME.match(page, at + 1 + (c == "/"))
+            if m:
+                to = _QUOTED.match(page, m.end()).end() if self.quotes else end
+                if to >= end or page[to] != ">":
+                    self.quotes = False
+                    to = self.find(">", m.end())
+                if to < 0:
+                    return end, end, "", "", ""
+                return at, to + 1, m[0].lower(), "/" if c == "/" else "", page[m.end() : to]
+            at += 1
+        return end, end, "", "", ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order; scripts, styles, comments and markup are gone."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int, bool]] = []  # element, furniture, article, whether it is a link
+    held: Counter[str] = Counter()  # elements on the stack by name
     parts: list[str] = []
     linked = n_articles = 0
     heading = last_break = False
@@ -78,59 +128,56 @@ def blocks_of(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal parts, linked, heading
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", html.unescape(_BIG.sub("\ufffd", "".join(parts)))).strip()
             if text:
                 _, fur, art, _ = stack[-1] if stack else ("", False, 0, False)
                 out.append(Block(text, linked, fur, art, heading))
         parts, linked = [], 0
 
+    def drop(to: int) -> None:
+        nonlocal links
+        for x in stack[to:]:
+            links -= x[3]
+            held[x[0]] -= 1
+        del stack[to:]
+
+    reader = _Reader(page)
     at, end = 0, len(page)
-    lower = None
     while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else end]
+        begin, after, name, closing, attrs = reader.tag(at)
+        text = page[at:begin]
         if text:
             if links:
                 linked += len(text.strip())
             parts.append(text)
             if not text.isspace():
                 last_break = False
-        if not m:
+        if begin >= end:
             break
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            parts.append(html.escape(m[0][9:-3]))
-            continue
-        name = (m[2] or m[5] or "").lower()
+        at = after
         if not name:
+            if attrs:
+                parts.append(html.escape(attrs))
             continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if name in _BLOCKS:
                 flush()
                 heading = False
-            if any(x[0] == name for x in stack):
-                if name in _BLOCKS or name == "a":
-                    while True:
-                        x = stack.pop()
-                        links -= x[3]
-                        if x[0] == name:
-                            break
+            if held[name] and (name in _BLOCKS or name == "a"):
+                to = len(stack) - 1
+                while stack[to][0] != name:
+                    to -= 1
+                drop(to)
             continue
         if name in _RAW and not attrs.rstrip().endswith("/"):
-            if name in ("head", "select", "object", "svg", "math", "template", "noscript", "button", "audio", "video", "canvas", "iframe"):
-                pass
-            lower = page.lower() if lower is None else lower
-            if len(lower) != end:  # a letter whose lower case is longer
-                lower = re.sub("[A-Z]", lambda c: c[0].lower(), page)
-            to = lower.find(f"</{name}", at)
-            if name == "head" and (body := lower.find("<body", at)) >= 0 and (to < 0 or body < to):
+            to = reader.find(f"</{name}", at)
+            if name == "head" and (body := reader.find("<body", at)) >= 0 and (to < 0 or body < to):
                 at = body
                 continue
             if to < 0 and name in ("script", "style", "textarea", "title"):
                 at = end
             elif to >= 0:
-                gt = page.find(">", to)
+                gt = reader.find(">", to)
                 at = end if gt < 0 else gt + 1
             continue
         if name == "br":
@@ -145,20 +192,19 @@ def blocks_of(page: str) -> list[Block]:
             heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
         if name in _VOID or attrs.rstrip().endswith("/"):
             continue
-        _, fur, art, _ = stack[-1] if stack else ("", False, 0, False)
         if name in _BLOCKS or name == "a":
-            if name in ("p", "li", "dt", "dd", "option", "h1", "h2", "h3", "h4", "h5", "h6"):
-                # an unclosed one ends where the next begins
+            if name == "a" and stack and stack[-1][0] == "a":
+                drop(len(stack) - 1)  # links don't nest
+            if name in _CLOSED_BY_NEXT:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name and not (name in ("li", "dt", "dd") and any(s[0] in ("ul", "ol", "dl") for s in stack[i:])):
-                        links -= sum(s[3] for s in stack[i:])
-                        del stack[i:]
-                        _, fur, art, _ = stack[-1] if stack else ("", False, 0, False)
+                        drop(i)
                         break
-                    if stack[i][0] != "a" and stack[i][0] not in ("b", "i"):
+                    if stack[i][0] != "a":
                         break
+            _, fur, art, _ = stack[-1] if stack else ("", False, 0, False)
             tokens: set[str] = set()
-            body = False
+            body = hidden = False
             if attrs and name not in ("a", "html", "body"):
                 for k, *v in _ATTR.findall(attrs):
                     k, value = k.lower(), "".join(v).lower()
@@ -170,8 +216,9 @@ def blocks_of(page: str) -> list[Block]:
                         body |= value in ("main", "article")
                     elif k == "aria-hidden" and value == "true" or k == "style" and "display:none" in value.replace(" ", ""):
                         fur = True
-                if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs.lower()) and "hidden" not in tokens:
-                    fur = True
+                    elif k == "hidden":
+                        hidden = True
+                fur |= hidden and "hidden" not in tokens
             if name in _FURNITURE and not (name == "header" and art):
                 fur = True
             elif name in ("article", "main") or body and not tokens & _MARKS:
@@ -181,54 +228,65 @@ def blocks_of(page: str) -> list[Block]:
             elif tokens & _MARKS and not (tokens & {"header"} and not tokens & (_MARKS - {"header"}) and art):
                 fur = True
             stack.append((name, fur, art, name == "a"))
+            held[name] += 1
             links += name == "a"
     flush()
     return out
 
 
 def classify(blocks: list[Block], low: float = 0.05, high: float = 0.2, links: float = 0.35, short: int = 70, long: int = 160) -> list[Block]:
-    """The two passes. First each block for itself: furniture, or too much of it linked: bad; long with
-    enough stop words: good; long with few: bad outside an article, undecided inside; the rest is short,
-    thus undecided. Then undecided blocks take the label of the nearest decided neighbours, the
-    preceding and the following: where they agree, that; else that of the nearer one in characters. The edges of an
-    article or main element are decided neighbours, good, and hide what is beyond; the page's edges are none, and a page
-    without any decided block is bad."""
+    """The two passes. First each block for itself: furniture, or too much of it linked (more is allowed inside an article): bad; long with
+    enough stop words, or of middle length with many: good; long with few: bad outside an article, undecided inside, where tables and
+    listings are text too; the rest is short, thus undecided. Where a page has an article, what lies outside is good at no density.
+
+    Then undecided blocks take the label of the nearest decided neighbours, the preceding and the following, furniture left out: where they
+    agree, that; else that of the nearer one in characters, the preceding if they are equally near; a heading that of what follows. What lies beyond the
+    edge of an article or main element is no neighbour. Where an article has no good block of its own, as all are short, its
+    mark stands in for one, and only linked blocks are bad; a page without article and without good block is bad."""
     any_article = any(b.article for b in blocks)
     for b in blocks:
         n = len(b.text)
         words = _WORD.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.furniture or b.linked > links * n and not (b.article and b.linked < 0.7 * n):
+        if b.furniture or b.linked > (0.7 if b.article else links) * n:
             b.label = BAD
         elif n >= long and stop >= low or n >= short and stop >= high:
             b.label = GOOD if b.article or not any_article else SHORT
-        elif n >= long and stop < low and not b.article:
+        elif n >= long and not b.article:
             b.label = BAD
         else:
             b.label = SHORT
     first = [b.label for b in blocks]
+    proved = {b.article for b in blocks if b.label == GOOD}
+
+    def reach(order: Iterable[int]) -> list[tuple[int, int]]:
+        """For each block the label of the decided one before it in this order, SHORT for none, and the characters between."""
+        out = [(SHORT, 0)] * len(blocks)
+        last: dict[int, tuple[int, int]] = {}  # by article: label, characters since
+        beyond = None
+        for i in order:
+            b = blocks[i]
+            if b.article != beyond:
+                last.clear()
+                beyond = b.article
+            label, away = last.get(b.article, (SHORT, 0))
+            out[i] = label, away
+            if first[i] != SHORT and not (b.furniture and b.article):
+                last[b.article] = first[i], 0
+            elif label != SHORT:
+                last[b.article] = label, away + len(b.text)
+        return out
+
+    ahead, behind = reach(range(len(blocks))), reach(range(len(blocks) - 1, -1, -1))
     for i, b in enumerate(blocks):
         if first[i] != SHORT:
             continue
-        near = []
-        for step in (-1, 1):
-            j, away = i + step, 0
-            while True:
-                if not 0 <= j < len(blocks) or blocks[j].article != b.article:
-                    inside = b.article > 0
-                    near.append((GOOD if inside else None, away))
-                    break
-                if first[j] != SHORT and not (b.article and first[j] == BAD):
-                    near.append((first[j], away))
-                    break
-                away += len(blocks[j].text)
-                j += step
-        (before, a), (after, c) = near
+        if b.article not in proved:
+            b.label = GOOD if b.article else BAD
+            continue
+        (before, x), (after, y) = ahead[i], behind[i]
         before, after = before or after or BAD, after or before or BAD
-        if b.heading and not b.article:
-            b.label = after  # a heading belongs to what follows
-        else:
-            b.label = before if a <= c else after
+        b.label = after if b.heading or y < x else before
     return blocks
 
 
