@@ -14,7 +14,7 @@ from .common import claim, cut, null_safe_key, release, small_batches
 from .components import connected_components
 
 SEED = 42
-SAMPLE_PER_SHARD = 48
+SAMPLE_PER_SHARD, SAMPLE = 48, 1_000_000
 LEAF = 192
 
 
@@ -56,44 +56,43 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return given.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
 
 
-def build_tree(sample: np.ndarray, shards: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (pivot, mu, left, right) of a vantage-point tree with about ``shards`` leaves.
+def build_tree(sample: np.ndarray, weight: float, per_shard: int, radius: int) -> list[tuple[int, int, int, int]]:
+    """Nodes (pivot, mu, left, right) of a vantage-point tree whose leaves hold about ``per_shard`` fingerprints at most, of which a sample point stands
+    for ``weight``.
 
-    A child below zero is leaf ``-child - 1``. Each split puts the points within ``mu`` bits of
-    the pivot left. The pivot is the best of a few sample points by balance, so a dense ball of
-    near copies is split from inside.
+    A child below zero is leaf ``-child - 1``. Each split puts the points within ``mu`` bits of the pivot left, and those beyond, with
+    the overlap of ``radius`` bits that ``route`` copies, right. The pivot is the best of a few sample points by the sizes that result, so a dense ball of
+    near copies is split from inside; what none splits well stays one leaf.
     """
     nodes: list[tuple[int, int, int, int]] = []
     rng = np.random.default_rng(7)
     leaves = 0
-
-    def grow(pts: np.ndarray, want: int) -> int:
-        nonlocal leaves
+    # (points, parent, side); a stack, as a skewed tree may be deep
+    todo: list[tuple[np.ndarray, int, int]] = [(np.unique(sample), -1, 0)]
+    while todo:
+        pts, parent, side = todo.pop()
         best = None
-        if want > 1 and len(pts) > 1:
+        if len(pts) * weight > per_shard and len(pts) > 8:
             for p in rng.choice(pts, size=min(8, len(pts)), replace=False):
-                counts = np.bincount(np.bitwise_count(pts ^ p), minlength=65)
-                below = np.cumsum(counts)
-                mu = int(np.argmin(np.abs(below - len(pts) / 2)))
-                if 0 < below[mu] < len(pts):
-                    band = counts[max(0, mu - 1) : mu + 1].sum()
-                    cost = max(below[mu], len(pts) - below[mu]) + band
-                    if best is None or cost < best[0]:
-                        best = (cost, p, mu)
+                below = np.cumsum(np.bincount(np.bitwise_count(pts ^ p), minlength=65))
+                middle = int(np.argmin(np.abs(below - len(pts) / 2)))
+                for mu in range(max(0, middle - 1), middle + 3):
+                    left, right = int(below[mu]), len(pts) - int(below[mu - radius] if mu >= radius else 0)
+                    if max(left, right) <= 0.95 * len(pts) and (best is None or left**2 + right**2 < best[0]):
+                        best = (left**2 + right**2, p, mu)
         if best is None:
             leaves += 1
-            return -leaves
-        _, p, mu = best
-        at = len(nodes)
-        nodes.append((0, 0, 0, 0))
-        near = np.bitwise_count(pts ^ p) <= mu
-        part = max(1, min(want - 1, round(want * near.mean())))
-        left = grow(pts[near], part)
-        right = grow(pts[~near], want - part)
-        nodes[at] = (int(p), mu, left, right)
-        return at
-
-    grow(np.unique(sample), max(1, shards))
+            at = -leaves
+        else:
+            _, p, mu = best
+            at = len(nodes)
+            nodes.append((int(p), mu, 0, 0))
+            d = np.bitwise_count(pts ^ p).astype(np.int64)
+            todo += [(pts[d > mu - radius], at, 3), (pts[d <= mu], at, 2)]
+        if parent >= 0:
+            node = list(nodes[parent])
+            node[side] = at
+            nodes[parent] = tuple(node)
     return nodes
 
 
@@ -173,20 +172,20 @@ def near_forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(i, r) for i in range(len(fps)) if (r := find(i)) != i]
 
 
-def near_edges(fps: DataFrame, radius: int = 2, per_shard: int = 4096) -> DataFrame:
+def near_edges(fps: DataFrame, radius: int = 2, per_shard: int = 8192) -> DataFrame:
     """(a, b) edges that connect what is linked among distinct fingerprints in column ``fp``.
 
     Returns a spanning forest per shard, never all pairs: linked fingerprints, and no others, end
     in one component. The tree's pivots come from a bounded sample (SAMPLE_PER_SHARD for each
-    shard, 1,000,000 at most); every fingerprint is routed.
+    shard, SAMPLE at most); every fingerprint is routed. A shard that holds over four times ``per_shard``, as a ball that no pivot splits or
+    one of a table too large for the sample, is dealt into blocks by a hash, and each pair of blocks is a task of its own.
     """
     spark = fps.sparkSession
     n = fps.count()
-    shards = max(1, -(-n // per_shard))
-    want = min(1_000_000, SAMPLE_PER_SHARD * shards)
+    want = min(SAMPLE, SAMPLE_PER_SHARD * max(1, -(-n // per_shard)))
     share = min(1.0, 1.2 * want / max(1, n))
     picked = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * want).collect()
-    nodes = build_tree(np.array([r["fp"] for r in picked], dtype=np.int64).view(np.uint64), shards)
+    nodes = build_tree(np.array([r["fp"] for r in picked], dtype=np.int64).view(np.uint64), n / max(1, len(picked)), per_shard, radius)
     tree = spark.sparkContext.broadcast(nodes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +200,13 @@ def near_edges(fps: DataFrame, radius: int = 2, per_shard: int = 4096) -> DataFr
         i, r = np.array(pairs, np.int64).reshape(-1, 2).T
         return pa.table({"a": v[i], "b": v[r]})
 
-    return fps.select("fp").mapInArrow(deal, "leaf long, fp long").groupBy("leaf").applyInArrow(link, "a long, b long")
+    dealt = cut(fps.select("fp").mapInArrow(deal, "leaf long, fp long"))
+    large = dealt.groupBy("leaf").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * per_shard).select("leaf", F.ceil(F.col("_n") / per_shard).alias("blocks"))
+    dealt = dealt.join(F.broadcast(large), "leaf", "left")  # there are fewer leaves than sample points
+    block = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    dealt = dealt.select("leaf", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
+    return dealt.groupBy("leaf", "i", "j").applyInArrow(lambda g: link(g.select(["fp"])), "a long, b long")
 
 
 def simhash_components(

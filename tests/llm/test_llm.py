@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -66,6 +67,30 @@ def test_html_table(spark):
     assert sorted(map(tuple, html_extract.extract_main_text(pages).collect())) == [(1, "u", "", 0), (2, None, "x", 1)]
 
 
+def test_html_density(monkeypatch):
+    """Without articles the stop words decide; in one, short blocks between linked ones go with these."""
+    good = "The house that we saw by the river was as old as the town and all of its walls, and it is still there for us. "
+    plain = f"<body><h2>On houses</h2><p>{good * 2}</p><p>Short.</p><p>{'Qwrt zxcv bnmp ' * 14}</p><div>tail</div>"
+    inside = f"<article><p>{good}</p><p><a href=x>Other pages here</a></p><p>More of them</p><p><a href=y>And further ones</a></p></article>"
+    assert html_extract.main_text(plain) == "On houses\n" + (good * 2).strip() + "\nShort."
+    assert html_extract.main_text(inside) == good.strip()
+    monkeypatch.setattr(html_extract, "STOP_WORDS", set())
+    assert html_extract.main_text(plain) == "" and html_extract.main_text(inside) == good.strip() + "\nMore of them"
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<a '>'", "<svg>", "<div></p>", "</", "<!--", "&#9", "<p class=", "a=", '<a href="', "<", "<div "])
+def test_html_broken_pages_take_linear_time(broken):
+    began = time.process_time()
+    html_extract.main_text("<article><p>x</p>" + broken * (1_000_000 // len(broken)))
+    assert time.process_time() - began < 10
+
+
+def test_html_odd():
+    assert html_extract.main_text("<p &#" + "9" * 9000 + ";" * 9) == ""
+    assert html_extract.main_text("<article>a&#" + "9" * 9000 + ";b<![CDATA[<i>]]></article>") == "a\ufffdb<i>"
+    assert html_extract.main_text("<article " + "a" * 100_000 + ">x") == "x"
+
+
 def test_language(spark):
     texts = {"x": "the cat and the dog went to the river with the old man and the boat ", "y": "der hund und die katze sind mit dem alten mann zum fluss gegangen und "}
     train = spark.createDataFrame([(k, v * 3 + str(i)) for k, v in texts.items() for i in range(40)] + [(None, "zzz"), ("x", None)], "lang string, text string")
@@ -208,6 +233,8 @@ def test_near_pairs_are_exact(spark):
         if (new == label).all():
             break
         label = new
+    pairs = components.connected_components(simhash.near_edges(df, 2, per_shard=8), "a", "b")  # the ball's shards are compared by blocks
+    assert {x["node"]: x["root"] for x in pairs.collect()} == got
     signed = fps.view(np.int64).tolist()
     mine = {}
     for i, l in enumerate(label):
@@ -218,6 +245,33 @@ def test_near_pairs_are_exact(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_shards_are_bounded():
+    """Of 300,000 random fingerprints, and of a dense ball among them, no shard holds over four times its target as the sample has it."""
+    r = np.random.default_rng(4)
+    fps = r.integers(0, 1 << 63, 300_000, dtype=np.uint64)
+    nodes = simhash.build_tree(r.choice(fps, 48 * 80, replace=False), len(fps) / (48 * 80), 4096, 2)
+    _, leaf = simhash.route(fps, nodes, 2)
+    assert np.bincount(leaf).max() <= 4 * 4096 and len(nodes) > 50
+
+
+def test_simhash_on_a_table(spark):
+    """Component ids of a whole table, against all pairs of its fingerprints."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = simhash.simhash_components(rows).collect()
+    fps = np.array([simhash.simhash64(x["text"]) for x in rows.collect()], np.uint64)
+    ids = np.array([x["doc_id"] for x in rows.collect()])
+    label = ids.copy()
+    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    while True:
+        new = np.array([label[c].min() for c in close])
+        if (new == label).all():
+            break
+        label = new
+    assert {x["doc_id"]: (x["fp"] % (1 << 64), x["component_id"]) for x in got} == {int(i): (int(f), int(c)) for i, f, c in zip(ids, fps, label)}
+    kept = sorted(x["doc_id"] for x in simhash.deduplicate(rows).collect())
+    assert kept == sorted(set(label.tolist()))
+
+
 def vocabulary():
     P = pytest.importorskip("public_tokenizers")
     return P.path("word_bpe_49k.json")
@@ -267,6 +321,11 @@ def test_urls(spark):
     cases = [("http://a.example.com/en/76?x", "example.com/en/7", "allow"), ("https://B.Example.COM/en/8#z", "com/en/", "block"), ("http://notexample.com/en/7", "com/en/", "block"), ("x://com/en/", "com/en/", "block"), ("http://com.org/en/", None, "allow"), ("a.net", None, "allow"), (None, None, "allow"), ("http://a.net?x://b.com/en/", "net", "block"), ("http://a.net", "net", "block"), ("http://a.net", "net", "block")]
     got = url_filter.filter_urls(spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(cases)], "page_id long, url string"), rules)
     assert [(r["rule"], r["verdict"]) for r in got.orderBy("page_id").collect()] == [(r, v) for _, r, v in cases]
+    clash = spark.createDataFrame([(i, u, 1, 2, 3, 4, 5) for i, (u, _, _) in enumerate(cases)], "page_id long, url string, host int, rule int, _rest int, n int, _url int")
+    back = url_filter.filter_urls(clash, rules)
+    assert back.columns == ["page_id", "url", "_rest", "n", "_url", "host", "path", "rule", "verdict"]
+    assert [(r["rule"], r["verdict"], r["_rest"], r["n"], r["_url"]) for r in back.orderBy("page_id").collect()] == [(r, v, 3, 4, 5) for _, r, v in cases]
+    assert url_filter.filter_urls(clash.limit(0), rules).count() == 0
     assert url_filter.filter_urls(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), rules.limit(0)).first()["verdict"] == "allow"
 
 
@@ -378,3 +437,85 @@ def test_pipeline_near_copies(spark):
     docs5 = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs5, "").collect())
     assert got == sorted(least.values()) and len(got) < len(rows) - 20
+
+
+def kept_words(rows, window=51, least=51, similarity=0.8):
+    """Brute force: for each (id, text) the words that stay, by the docstring of substring_dedup."""
+    ids = [1 << 62 if k is None else k for k, _ in rows]
+    words = [(t or "").lower().encode().split() for _, t in rows]
+    first = {}
+    for k, w in zip(ids, words):
+        for i in range(len(w) - window + 1):
+            x = tuple(w[i : i + window])
+            first[x] = min(first.get(x, k), k)
+    gone = [set() for _ in rows]
+    for g, k, w in zip(gone, ids, words):
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < k:
+                g |= set(range(i, i + window))
+    lines = []
+    for d, (_, t) in enumerate(rows):
+        at = 0
+        for line in (t or "").lower().encode().split(b"\n"):
+            w = line.split()
+            if len(w) >= least:
+                lines.append((d, at, at + len(w), {tuple(w[i : i + 5]) for i in range(len(w) - 4)}))
+            at += len(w)
+    label = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            a, b = lines[i][3], lines[j][3]
+            if label[i] != label[j] and len(a & b) >= similarity * len(a | b):
+                x, y = label[i], label[j]
+                label = [x if v == y else v for v in label]
+    low = {}
+    for (d, *_), v in zip(lines, label):
+        low[v] = min(low.get(v, ids[d]), ids[d])
+    for (d, a, b, _), v in zip(lines, label):
+        if low[v] < ids[d]:
+            gone[d] |= set(range(a, b))
+    text_first = {}
+    for k, (_, t) in zip(ids, rows):
+        text_first[t] = min(text_first.get(t, k), k)
+    for g, k, w, (_, t) in zip(gone, ids, words, rows):
+        if t and text_first[t] < k and len(w) >= window:
+            g |= set(range(len(w)))
+    return [[x for i, x in enumerate(w) if i not in g] for g, w in zip(gone, words)]
+
+
+def test_substring_dedup_is_exact(spark):
+    """Runs of 32 to 60 words shared by two or three texts, in the middle of lines, at the edges, across lines; near lines and copies."""
+    r = random.Random(33)
+    fresh = lambda n: [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in range(32, 61):
+        run = fresh(n)
+        for k in range(3):
+            text = fresh(r.randint(0, 40)) + run + fresh(r.randint(0, 40))
+            for i in r.sample(range(len(text)), 2):
+                text[i] += r.choice(["\n", "  ", "\t"])
+            rows.append((len(rows), " ".join(text)))
+    base = fresh(120)
+    for k in range(4):
+        new = list(base)
+        new[10 + 25 * k] = "other"
+        rows.append((len(rows), " ".join(fresh(5)) + "\n" + " ".join(new)))
+    rows += [(500, rows[3][1]), (501, rows[3][1]), (2, rows[90][1]), (None, rows[5][1]), (None, " ".join(fresh(80))), (502, "same " * 200), (503, "same " * 100 + "\n" + "same " * 49), (504, "short copy"), (505, "short copy"), (506, " \n "), (507, None)]
+    r.shuffle(rows)
+    got = paragraph_dedup.substring_dedup(spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "row int, doc_id long, text string")).collect()
+    got = {x["row"]: x for x in got}
+    assert len(got) == len(rows)
+    for i, want in enumerate(kept_words(rows)):
+        text = rows[i][1]
+        assert (got[i]["text"] or "").lower().encode().split() == want
+        if len(want) == len((text or "").split()):
+            assert got[i]["text"] == text and got[i]["n_removed_spans"] == got[i]["n_removed_chars"] == 0
+
+
+def test_substring_dedup_on_a_table(spark):
+    d = "/root/testdata/sf0.001/documents.parquet"
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(d).select("doc_id", "text").collect()]
+    got = paragraph_dedup.substring_dedup(spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "row int, doc_id long, text string")).collect()
+    want = kept_words(rows)
+    assert all((x["text"] or "").lower().encode().split() == want[x["row"]] for x in got) and len(got) == len(rows)
+    assert any(x["n_removed_spans"] for x in got)
