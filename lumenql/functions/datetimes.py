@@ -79,3 +79,86 @@ def strftime(fmt: str, ts: Column) -> Column:
         else:
             raise ValueError(f"unknown format: %{code}")
     return F.concat(*parts)
+
+
+#: Nanoseconds.
+MICROSECOND, MILLISECOND, SECOND, MINUTE, HOUR = 1_000, 1_000_000, 1_000_000_000, 60_000_000_000, 3_600_000_000_000
+#: Julian days from -4713-11-24 12:00 to 9999-12-31, and the epoch seconds that the 'auto' modifier takes numbers beyond for.
+LAST_DAY, FIRST_SECOND = 5373484.5, -210866760000
+
+
+def parse(s: Column) -> Column:
+    """A timestamp from text: a date, a date and time (blank or T between), a time (of 2000-01-01), or a Julian day; null for anything else."""
+    t = F.trim(s)
+    time = r"\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
+    day = F.when(t.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}([ T]{time})?Z?$"), F.regexp_replace(F.regexp_replace(t, "Z$", ""), "T", " "))
+    day = F.coalesce(day, F.when(t.rlike(rf"^{time}$"), F.concat(F.lit("2000-01-01 "), t)))
+    return F.coalesce(day.try_cast("timestamp"), F.when(t.rlike(r"^\d+(\.\d*)?$"), from_julianday(F.when(t.try_cast("double") < LAST_DAY, t.try_cast("double")))))
+
+
+def moment(x: Column, *modifiers: str) -> Column:
+    """A timestamp from text or a number, the modifiers applied in order; the first of 'unixepoch', 'julianday' or 'auto' says what a number is."""
+    rest = list(modifiers)
+    kind = rest.pop(0) if rest and rest[0] in ("unixepoch", "julianday", "auto") else None
+    if kind is None:
+        ts = parse(x.cast("string"))
+    else:
+        n = x.cast("double")
+        epoch, julian = F.timestamp_micros(F.round(n * 1_000_000).cast("bigint")), from_julianday(n)
+        ts = {"unixepoch": epoch, "julianday": julian, "auto": F.when(n.between(0, LAST_DAY), julian).when(n >= FIRST_SECOND, epoch)}[kind]
+    return modify(ts, *rest)
+
+
+def _shown(ts: Column, pattern: str) -> Column:
+    return F.date_format(ts, pattern)
+
+
+def date(x: Column, *modifiers: str) -> Column:
+    return _shown(moment(x, *modifiers), "yyyy-MM-dd")
+
+
+def time(x: Column, *modifiers: str) -> Column:
+    return _shown(moment(x, *modifiers), "HH:mm:ss")
+
+
+def datetime(x: Column, *modifiers: str) -> Column:
+    """Years before 1 have a minus sign."""
+    ts = moment(x, *modifiers)
+    return F.concat(F.when(F.year(ts) <= 0, "-").otherwise(""), F.lpad(F.abs(F.year(ts)).cast("string"), 4, "0"), _shown(ts, "-MM-dd HH:mm:ss"))
+
+
+def localtime(ts: Column, zone: str) -> Column:
+    """UTC to a zone's wall clock."""
+    return F.from_utc_timestamp(ts, zone)
+
+
+def utc(ts: Column, zone: str) -> Column:
+    """A zone's wall clock to UTC."""
+    return F.to_utc_timestamp(ts, zone)
+
+
+def to_micro(ns: Column) -> Column:
+    return ((ns - ns % MICROSECOND) / MICROSECOND).cast("bigint")
+
+
+def to_seconds(ns: Column) -> Column:
+    return ns / F.lit(float(SECOND))
+
+
+def to_minutes(ns: Column) -> Column:
+    return ns / F.lit(float(MINUTE))
+
+
+def to_hours(ns: Column) -> Column:
+    return ns / F.lit(float(HOUR))
+
+
+def truncated(ns: Column, unit: int) -> Column:
+    """Towards zero, to a multiple of the unit."""
+    return ns - ns % F.lit(unit)
+
+
+def rounded(ns: Column, unit: int) -> Column:
+    """To the nearest multiple, halves away from zero."""
+    rest = ns % F.lit(unit)
+    return ns - rest + F.when(F.abs(rest) * 2 >= unit, F.signum(rest.cast("double")).cast("bigint") * unit).otherwise(0)

@@ -122,3 +122,28 @@ def hex_literals(sql: str) -> str:
     """SQL text with 0x.. integer literals in decimal, outside quotes."""
     parts = re.split(r"('(?:[^']|'')*')", sql)
     return "".join(p if i % 2 else re.sub(r"\b0[xX]([0-9a-fA-F]+)\b", lambda m: str(int(m[1], 16)), p) for i, p in enumerate(parts))
+
+
+#: What a planner hint looks like in SQL text; the value is what stays.
+_HINTS = [(r"\bAS\s+(?:NOT\s+)?MATERIALIZED\s*\(", "AS ("), (r"\bINDEXED\s+BY\s+\w+", ""), (r"\bNOT\s+INDEXED\b", ""), (r"(?<=[(=<>,])(\s*)\+(?=[A-Za-z_])", r"\1")]
+
+
+def without_hints(sql: str) -> str:
+    """SQL text without hints that don't change results: MATERIALIZED, INDEXED BY, likely(x), unlikely(x), likelihood(x, p), unary +. Quoted text stays."""
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    marks = [p for p in parts[1::2]]
+    text = "\x00".join(parts[0::2])
+    for pattern, instead in _HINTS:
+        text = re.sub(pattern, instead, text, flags=re.I)
+    while m := re.search(r"\b(likely|unlikely|likelihood)\s*\(", text, flags=re.I):
+        depth, comma, at = 1, None, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[at], 0)
+            if text[at] == "," and depth == 1:
+                comma = at
+            at += 1
+        inner = text[m.end() : comma if comma and m[1].lower() == "likelihood" else at - 1]
+        text = f"{text[: m.start()]}({inner.lstrip().removeprefix('+')}){text[at:]}"
+    for p in marks:
+        text = text.replace("\x00", p, 1)
+    return text

@@ -141,6 +141,30 @@ def json_extract(j: Column, path: str) -> Column:
     return F.get_json_object(item, plain(rest)) if rest else item
 
 
+def _operand(step: str | int) -> str:
+    """A path from the operand of an arrow: a path as it is, a key, an index (from the end if negative)."""
+    if isinstance(step, int):
+        return f"$[{step}]" if step >= 0 else f"$[#{step}]"
+    return step if step.startswith("$") else '$."' + step.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def arrow(j: Column, step: str | int) -> Column:
+    """``->``: the element as JSON, null where there is none."""
+    path = _operand(step)
+    text = json_extract(j, path)
+    return F.when(json_type(j, path) == "text", F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2)).when(json_type(j, path) == "null", "null").otherwise(text)
+
+
+def arrow_text(j: Column, step: str | int) -> Column:
+    """``->>``: the element as a SQL value, here text."""
+    return json_extract(j, _operand(step))
+
+
+def json_extract_all(j: Column, *paths: str) -> Column:
+    """Several paths: a JSON array of what they lead to, null for what isn't there."""
+    return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(arrow(j, p), F.lit("null")) for p in paths]), F.lit("]"))
+
+
 def json_type(j: Column, path: str = "$") -> Column:
     """null, true, false, integer, real, text, array or object; null where the path leads nowhere."""
     v = F.try_variant_get(F.try_parse_json(j), "$" + path[1:], "variant")
@@ -155,7 +179,7 @@ def json_valid(j: Column) -> Column:
     return F.when(j.isNotNull(), F.try_parse_json(j).isNotNull())
 
 
-@udtf(returnType="key: string, value: string, type: string, fullkey: string")
+@udtf(returnType="key: string, value: string, type: string, atom: string, fullkey: string")
 class JsonTree:
     """Every node of a document, parents first."""
 
@@ -166,12 +190,11 @@ class JsonTree:
     def walk(self, key, x, full: str):
         kinds = {dict: "object", list: "array", str: "text", int: "integer", float: "real", type(None): "null", bool: "true" if x else "false"}
         kind = kinds[type(x)]
-        yield key, _dump(x) if isinstance(x, dict | list) else (None if x is None else x if isinstance(x, str) else _dump(x)), kind, full
+        atom = None if x is None or isinstance(x, dict | list) else x if isinstance(x, str) else _dump(x)
+        yield key, _dump(x) if isinstance(x, dict | list) else atom, kind, atom, full
         if isinstance(x, dict):
             for k, v in x.items():
                 yield from self.walk(k, v, f"{full}.{k}" if re.fullmatch(r"[A-Za-z_]\w*", k) else f'{full}."{k}"')
         elif isinstance(x, list):
             for i, v in enumerate(x):
                 yield from self.walk(str(i), v, f"{full}[{i}]")
-
-

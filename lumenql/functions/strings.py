@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -105,13 +107,12 @@ REFINED = "01360240043788015936020505"
 
 
 def refined_soundex_code(s: str) -> str:
-    """First letter, then a digit for each letter, runs of one digit once."""
-    letters = [c for c in s.upper() if "A" <= c <= "Z"]
-    if not letters:
+    """First character, then a digit for each, 0 for what is no letter, runs of one digit once."""
+    if not s:
         return ""
-    out, last = letters[0], ""
-    for c in letters:
-        d = REFINED[ord(c) - 65]
+    out, last = s[0].upper(), ""
+    for c in s.upper():
+        d = REFINED[ord(c) - 65] if "A" <= c <= "Z" else "0"
         if d != last:
             out += d
         last = d
@@ -161,8 +162,62 @@ def base32(s) -> Column:
     return _single(lambda x: base64.b32encode(x.encode()).decode())(s)
 
 
-def base85(s) -> Column:
-    return _single(lambda x: base64.a85encode(x.encode()).decode())(s)
+#: The digits of base 85, # to & and * to z, and the characters of a line in base 64 and in base 85.
+DIGITS85 = bytes([*range(35, 39), *range(42, 123)])
+LINE64, LINE85 = 72, 80
+
+
+def encode85(data: bytes) -> str:
+    """Groups of four bytes as five digits, a last group of n bytes as n + 1, each line ended."""
+    out = bytearray()
+    for i in range(0, len(data), 4):
+        group = data[i : i + 4]
+        n = int.from_bytes(group, "big")
+        digits = []
+        for _ in range(len(group) + 1):
+            n, d = divmod(n, 85)
+            digits.append(DIGITS85[d])
+        out += bytes(reversed(digits))
+    return _wrapped(out.decode(), LINE85)
+
+
+def decode85(text: str) -> bytes:
+    """Characters that are no digits are passed over."""
+    digits = [d for c in text.encode() if (d := DIGITS85.find(c)) >= 0]
+    out = b""
+    for i in range(0, len(digits), 5):
+        n = 0
+        for d in digits[i : i + 5]:
+            n = n * 85 + d
+        size = len(digits[i : i + 5]) - 1
+        out += (n & (1 << 8 * size) - 1).to_bytes(size, "big") if size else b""
+    return out
+
+
+def is_85(text: str) -> bool:
+    return all(c in DIGITS85 or chr(c).isspace() for c in text.encode())
+
+
+def _wrapped(text: str, width: int) -> str:
+    return "".join(text[i : i + width] + "\n" for i in range(0, len(text), width))
+
+
+def base64_lines(b) -> Column:
+    """Base 64 of a blob in lines, each ended."""
+    return _single(lambda x: _wrapped(base64.b64encode(bytes(x)).decode(), LINE64))(b)
+
+
+def base85(b) -> Column:
+    """Base 85 of a blob (or of text in UTF-8)."""
+    return _single(lambda x: encode85(x.encode() if isinstance(x, str) else bytes(x)))(b)
+
+
+def unbase85(s) -> Column:
+    return _single(decode85, "binary")(s)
+
+
+def is_base85(s) -> Column:
+    return _single(is_85, "boolean")(s)
 
 
 def rot13(s: Column) -> Column:
@@ -205,3 +260,138 @@ def last_index(s: Column, part: str) -> Column:
     """1-based place of the last occurrence, 0 for none."""
     r = F.instr(F.reverse(s), part[::-1])
     return F.when(r == 0, 0).otherwise(F.length(s) - r - len(part) + 2)
+
+
+def char(*codes: Column | int) -> Column:
+    """The text of these code points."""
+    one = lambda c: F.decode(F.unhex(F.lpad(F.hex(c if isinstance(c, Column) else F.lit(c)), 8, "0")), "UTF-32")
+    return F.concat(*map(one, codes))
+
+
+def unicode(s: Column) -> Column:
+    """The first character's code point; null for empty text."""
+    return F.when(s != "", F.conv(F.hex(F.encode(F.substring(s, 1, 1), "UTF-32")), 16, 10).cast("bigint"))
+
+
+def common_prefix_length(a: Column, b: Column) -> Column:
+    """Characters that two texts begin with alike, in the JVM: the first place that differs."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y) & (x != ""))
+    at = F.array_position(same, F.lit(False))
+    whole = F.least(F.length(a), F.length(b))
+    return F.when(whole == 0, 0).when(at == 0, whole).otherwise(at - 1).cast("int")
+
+
+def _accents() -> tuple[str, str]:
+    """Letters of Latin script with marks, and the letters without them, by Unicode decomposition."""
+    pairs = [(chr(c), d[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()]
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+def unaccent(s: Column) -> Column:
+    """Latin letters without their marks; combining marks go."""
+    with_marks, without = _accents()
+    return F.regexp_replace(F.translate(s, with_marks, without), r"\p{Mn}", "")
+
+
+def uuid_text(s: Column) -> Column:
+    """A UUID in any usual spelling (braces, any hyphens, upper case) in its canonical one; null for what is none."""
+    digits = F.lower(F.translate(s, "-{}", ""))
+    ok = digits.rlike("^[0-9a-f]{32}$") & s.rlike(r"^\{?[0-9A-Fa-f-]+\}?$")
+    return F.when(ok, F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+
+
+def uuid_blob(s: Column) -> Column:
+    return F.unhex(F.translate(uuid_text(s), "-", ""))
+
+
+def zeroblob(n: Column | int) -> Column:
+    return F.unhex(F.repeat(F.lit("00"), n if isinstance(n, Column) else F.lit(n)))
+
+
+def randomblob(n: int) -> Column:
+    """n random bytes, other ones in each row."""
+    # a UUID's version digits aren't random, so UUIDs are hashed
+    return F.unhex(F.substring(F.concat(*[F.sha2(F.concat(F.uuid(), F.uuid(), F.uuid()), 256) for _ in range(-(-n // 32))]), 1, 2 * n))
+
+
+def uint_key(s: Column) -> Column:
+    """A key whose order is text order, except that runs of digits compare as numbers of any length."""
+    runs = F.regexp_extract_all(s, F.lit(r"(\d+|\D+)"), F.lit(1))
+    # a run's length goes before its digits
+    number = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    part = lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(number(r)).cast("string"), 9, "0"), number(r))).otherwise(r)
+    return F.array_join(F.transform(runs, part), "")
+
+
+def mixed_format(fmt: str, *values: Column) -> Column:
+    """printf: %d %i %u %s %f %e %g %x %X %o %c %q %Q %w %%, flags - + space 0 # ! and , (thousands), width and precision (* takes the next value); a value
+    that is missing is 0 or empty. Parts are built one by one, in the JVM."""
+    left = list(values)
+    parts: list[Column] = []
+
+    def take(empty) -> Column:
+        return left.pop(0) if left else F.lit(empty)
+
+    def padded(x: Column, width: Column | None, flags: str) -> Column:
+        if width is None:
+            return x
+        w = F.abs(width)
+        back = F.lit("-" in flags) | (width < 0)
+        return F.when(F.length(x) >= w, x).when(back, F.rpad(x, w, F.lit(" "))).otherwise(F.lpad(x, w, F.lit(" ")))
+
+    for lit, flags, width, precision, code in re.findall(r"([^%]+)|%([-+ 0#,!]*)(\*|\d+)?(?:\.(\*|\d+))?(?:ll|l)?([diusfeEgGxXocqQwnp%])", fmt):
+        if lit:
+            parts.append(F.lit(lit))
+            continue
+        if code in "%n":
+            parts.append(F.lit("%" if code == "%" else ""))
+            continue
+        w = take(0).cast("int") if width == "*" else F.lit(int(width)) if width else None
+        p = take(0).cast("int") if precision == "*" else F.lit(int(precision)) if precision else None
+        if code in "sqQwc":
+            x = take("").cast("string")
+            if code == "c":
+                x = F.substring(F.coalesce(x, F.lit("")), 1, 1)
+            elif p is not None:
+                x = F.substring(x, F.lit(1), p)
+            if code == "Q":
+                x = F.coalesce(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
+            elif code in "qw":
+                x = F.replace(F.coalesce(x, F.lit("")), F.lit("'" if code == "q" else '"'), F.lit("''" if code == "q" else '""'))
+            parts.append(padded(F.coalesce(x, F.lit("")), w, flags))
+            continue
+        if code in "diuxXop":
+            x = F.coalesce(take(0).cast("bigint"), F.lit(0).cast("bigint"))
+            kind = {"i": "d", "u": "d", "p": "x"}.get(code, code)
+            spec = "".join(c for c in flags if c in "+ ," and kind == "d")
+            body = F.format_string(f"%{spec}{kind}", x)
+        else:
+            x = F.coalesce(take(0).cast("double"), F.lit(0.0))
+            spec = "".join(c for c in flags if c in "+ ,")
+            if code in "gG":
+                body = _general(x, p)
+            else:
+                digits = F.lit(6) if p is None else p
+                # a precision that is a column needs a format for each value
+                plain = [F.format_string(f"%{spec if code == 'f' else spec.replace(',', '')}.{k}{code}", x) for k in range(25)]
+                body = plain[int(precision)] if precision and precision != "*" and int(precision) < 25 else plain[6] if p is None else F.element_at(F.array(*plain), digits + 1)
+        if "0" in flags and "-" not in flags and w is not None:
+            sign = F.regexp_extract(body, "^[-+ ]?", 0)
+            rest = F.substring(body, F.length(sign) + 1, F.length(body))
+            room = F.greatest(F.abs(w) - F.length(sign), F.length(rest))
+            body = F.concat(sign, F.lpad(rest, room, F.lit("0")))
+        parts.append(padded(body, w, flags))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def _general(x: Column, p: Column | None) -> Column:
+    """%g: as many significant digits as asked for (six), without trailing zeros; very large and small ones with an exponent."""
+    digits = F.lit(6) if p is None else F.greatest(p, F.lit(1))
+    every = F.array(*[F.format_string(f"%.{k}e", x) for k in range(17)])
+    e = F.element_at(every, F.least(digits, F.lit(17)))
+    exponent = F.regexp_extract(e, "e([-+][0-9]+)$", 1).cast("int")
+    mantissa = F.regexp_extract(e, "^(.*)e", 1)
+    short = lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    decimals = F.array(*[F.format_string(f"%.{k}f", x) for k in range(22)])
+    fixed = F.element_at(decimals, F.least(F.greatest(digits - exponent, F.lit(1)), F.lit(22)))
+    return F.when((exponent < -4) | (exponent >= digits), F.concat(short(mantissa), F.regexp_extract(e, "(e[-+][0-9]+)$", 1))).otherwise(short(fixed))

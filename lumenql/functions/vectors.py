@@ -69,3 +69,14 @@ def ivf_search(table: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
     found = asks.join(rows, "list").select("query", "id", l2_distance(F.col("v"), F.col("qv")).alias("distance"))
     best = Window.partitionBy("query").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def vector(s: Column) -> Column:
+    """A vector from text like [1, 2.5]; null for what is none."""
+    return F.when(s.rlike(r"^\s*\[[-+0-9.,eE\s]*\]\s*$"), F.from_json(s, "array<float>"))
+
+
+def vector_text(v: Column) -> Column:
+    """Text of a vector: numbers in their shortest form, whole ones without a point."""
+    one = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
+    return F.concat(F.lit("["), F.array_join(F.transform(v, one), ","), F.lit("]"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +115,105 @@ def apply(table: DataFrame, changes: DataFrame, keys: list[str], on_conflict: st
     return kept.select(*keys, *[F.when(take, F.col(f"new_{c}")).otherwise(F.col(f"_{c}")).alias(c) for c in rest])
 
 
+#: The order of value types where versions are equal, least first.
+TYPE_RANK = ["null", "blob", "text", "real", "integer"]
+
+
 def merge_cells(changes: DataFrame) -> DataFrame:
-    """Replicated cells: of all changes of (tbl, pk, cid), that of the greatest col_version, then value, then site_id."""
-    best = Window.partitionBy("tbl", "pk", "cid").orderBy(F.desc("col_version"), F.desc_nulls_last("val"), F.desc("site_id"))
-    return changes.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    """Replicated cells: of all changes of (tbl, pk, cid), that of the greatest col_version, then value, then site_id. Values compare by type first where
+    there is a column ``val_type`` (TYPE_RANK). Where there is one ``cl``, the causal length, only changes of a row's greatest one count, and
+    of a row whose greatest one is even, which is deleted, only the sentinel (cid '-1') stays.
+    """
+    rows = changes
+    if "cl" in changes.columns:
+        row = Window.partitionBy("tbl", "pk")
+        rows = rows.withColumn("_cl", F.max(F.coalesce("cl", F.lit(1))).over(row)).where(F.coalesce("cl", F.lit(1)) == F.col("_cl"))
+        rows = rows.where((F.col("_cl") % 2 == 1) | (F.col("cid").cast("string") == "-1")).drop("_cl")
+    rank = F.array_position(F.array(*map(F.lit, TYPE_RANK)), F.col("val_type")) if "val_type" in changes.columns else F.lit(0)
+    best = Window.partitionBy("tbl", "pk", "cid").orderBy(F.desc("col_version"), rank.desc(), F.desc_nulls_last("val"), F.desc("site_id"))
+    return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+
+
+def capture(changeset: DataFrame, table: str, keys: list[str], version: int, site: int) -> DataFrame:
+    """Clock rows of a local transaction, from its change set (see diff): (tbl, pk, cid, val, col_version, db_version, seq, cl, site_id), all of the
+    next db_version. An insert writes one row for each column, an update one for each column that changes, a delete the sentinel '-1' with an even
+    causal length. ``seq`` counts the cells of each row of the table; col_version is 1 for new cells and 2 for changed ones, to be added to the stored.
+    """
+    rest = [c[4:] for c in changeset.columns if c.startswith("new_")]
+    pk = F.to_json(F.struct(*keys))
+    cells = F.array(*[
+        F.when((F.col("op") == "insert") | ((F.col("op") == "update") & ~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))),
+               F.struct(F.lit(i).alias("n"), F.lit(c).alias("cid"), F.col(f"new_{c}").cast("string").alias("val")))
+        for i, c in enumerate(rest)
+    ])
+    gone = F.array(F.struct(F.lit(0).alias("n"), F.lit("-1").alias("cid"), F.lit(None).cast("string").alias("val")))
+    each = changeset.withColumn("_c", F.explode(F.when(F.col("op") == "delete", gone).otherwise(F.filter(cells, lambda c: c.isNotNull()))))
+    each = each.withColumn("pk", pk)
+    seq = F.row_number().over(Window.partitionBy("pk").orderBy("_c.n")) - 1
+    return each.select(
+        F.lit(table).alias("tbl"), "pk", "_c.cid", "_c.val", F.when(F.col("op") == "insert", 1).otherwise(2).alias("col_version"), F.lit(version + 1).alias("db_version"),
+        seq.alias("seq"), F.when(F.col("op") == "delete", 2).otherwise(1).alias("cl"), F.lit(site).alias("site_id"),
+    )
+
+
+#: Digits of order keys, in the order of their code points.
+ORDER_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def key_between(a: str | None, b: str | None) -> str:
+    """A key strictly between two others in text order; None is before all, or behind all. Keys don't end in the least digit."""
+    if a is not None and b is not None and a >= b:
+        raise ValueError("keys out of order")
+    out, low, high = "", a or "", b
+    at = 0
+    while True:
+        x = ORDER_DIGITS.index(low[at]) if at < len(low) else 0
+        y = ORDER_DIGITS.index(high[at]) if high is not None and at < len(high) else len(ORDER_DIGITS)
+        if y - x > 1:
+            return out + ORDER_DIGITS[(x + y) // 2]
+        out += ORDER_DIGITS[x]
+        if y > x:
+            high = None  # from here on anything above the lower key will do
+        at += 1
+
+
+def between(a, b) -> Column:
+    """key_between of two columns."""
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([key_between(i, j) for i, j in zip(x.to_pylist(), y.to_pylist())], pa.string())
+
+    return run(a, b)
+
+
+def pack_columns(*cols: Column) -> Column:
+    """One blob of several values: a count, then each value's type name, length and text, so that equal rows and no others have equal blobs."""
+    parts = [F.concat(F.coalesce(F.typeof(c), F.lit("null")), F.lit(":"), F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-:"))) for c in cols]
+    return F.encode(F.concat(F.lit(f"{len(cols)};"), *parts), "UTF-8")
+
+
+def unpack_column(blob: Column, kinds: list[str], k: int) -> Column:
+    """The k-th value of a packed blob whose columns have these types."""
+
+    @F.arrow_udf("string")
+    def run(b: pa.Array) -> pa.Array:
+        out = []
+        for x in b.to_pylist():
+            if x is None:
+                out.append(None)
+                continue
+            at, value = x.index(b";") + 1, None
+            for _ in range(k + 1):
+                name = x.index(b":", at) + 1
+                size = x.index(b":", name)
+                n = x[name:size]
+                at = size + 1 + (0 if n == b"-" else int(n))
+                value = None if n == b"-" else x[size + 1 : at].decode()
+            out.append(value)
+        return pa.array(out, pa.string())
+
+    return run(blob).cast(kinds[k])
 
 
 def changes_since(changes: DataFrame, version: int, not_site: int) -> DataFrame:

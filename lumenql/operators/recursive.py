@@ -4,33 +4,38 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenql-ckpt-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for shared state. One of the machine's own is made only in local mode, as in tests."""
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if got:
+        return got
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenql-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def fixpoint(seed: DataFrame, steps: list[Callable[[DataFrame], DataFrame]], distinct: bool = True, most: int = 10_000) -> DataFrame:
+def fixpoint(seed: DataFrame, steps: list[Callable[[DataFrame], DataFrame]], distinct: bool = True) -> DataFrame:
     """WITH RECURSIVE: the seed and all that the steps (recursive terms, several allowed) derive.
 
-    ``distinct`` is UNION: only rows not met yet go on, which ends on cycles; else UNION ALL. Each round joins the frontier only,
-    and is checkpointed, so the lineage stays short. The rounds' rows are united at the end.
+    ``distinct`` is UNION: only rows not met yet go on, which ends on cycles; else UNION ALL, which ends when a step gives no row. Each round joins the
+    frontier only and writes no more than its new rows, as a checkpoint.
     """
-    frontier = _cut(seed.distinct() if distinct else seed)
-    seen = frontier
-    for _ in range(most):
-        new = steps[0](frontier)
-        for s in steps[1:]:
-            new = new.unionAll(s(frontier))
+    rounds = [cut(seed.distinct() if distinct else seed)]
+    while not rounds[-1].isEmpty():
+        new = reduce(DataFrame.unionAll, [s(rounds[-1]) for s in steps])
         if distinct:
-            new = new.distinct().subtract(seen)
-        frontier = _cut(new)
-        if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.unionAll(frontier))
-    raise RuntimeError(f"no end after {most} rounds")
+            new = new.distinct().subtract(reduce(DataFrame.unionAll, rounds))
+        rounds.append(cut(new))
+    return reduce(DataFrame.unionAll, rounds)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import jsontext
+from .recursive import cut
+
 
 def total(x: Column) -> Column:
     """A sum that is always real, 0.0 for no rows."""
@@ -12,8 +17,8 @@ def total(x: Column) -> Column:
 
 
 def bare_max(x: Column, *tie: Column, of: Column) -> Column:
-    """The value of a bare column in the row that holds the maximum (of equal ones, the least by ``tie``)."""
-    return F.min_by(of, F.struct(-x, *tie))
+    """The value of a bare column in the row that holds the maximum, which may be text, too (of equal ones, the least by ``tie``, numbers)."""
+    return F.max_by(of, F.struct(x, *[-t for t in tie])) if tie else F.max_by(of, x)
 
 
 def bare_min(x: Column, *tie: Column, of: Column) -> Column:
@@ -46,6 +51,36 @@ def percentile(y: Column, p: float) -> Column:
     return F.percentile(y, F.lit(p / 100))
 
 
+def percentiles(df: DataFrame, keys: list[str], x: str, of: dict[str, float]) -> DataFrame:
+    """(keys, names): for each name the percentile of x, from 0 to 100, linear between the neighbours; null for groups without a value.
+
+    Values are counted, then ranged over the tasks by key and value, so that no task holds a whole group: a rank is the count of a group's rows in
+    the ranges before, known from one number for each range, and a running count within the range.
+    """
+    if bad := [p for p in of.values() if not 0 <= p <= 100]:
+        raise ValueError(f"percentile: P must be from 0 to 100, not {bad[0]}")
+    counts = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange(*keys, "_x").withColumn("_part", F.spark_partition_id()))
+    per = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    named = [f"_k{i}" for i in range(len(keys))]
+    per = per.select(*[F.col(k).alias(a) for k, a in zip(keys, named)], F.col("_part").alias("_p"), F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"))
+    same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, named)]
+    rows = ranged.join(per, [*same, F.col("_part") == F.col("_p")]).drop(*named, "_p")
+    running = Window.partitionBy(*keys, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_to", F.col("_before") + F.sum("_n").over(running)).withColumn("_from", F.col("_to") - F.col("_n"))
+    aggs = []
+    for name, p in of.items():
+        at = F.lit(p / 100) * (F.col("_all") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda k: (k >= F.col("_from")) & (k < F.col("_to"))
+        aggs += [F.max(F.when(holds(low), F.col("_x"))).alias(f"_l_{name}"), F.max(F.when(holds(high), F.col("_x"))).alias(f"_h_{name}"), F.max(at - low).alias(f"_s_{name}")]
+    got = rows.groupBy(*keys).agg(*aggs)
+    value = lambda n: F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * F.col(f"_s_{n}")
+    every = df.select(*[F.col(k).alias(a) for k, a in zip(keys, named)]).distinct()
+    return every.join(got, same, "left").select(*[F.col(a).alias(k) for k, a in zip(keys, named)], *[value(n).alias(n) for n in of])
+
+
 def json_group_array(x: Column, *order: Column) -> Column:
     """Nulls stay, as null; no rows give []."""
     rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], x.alias("x"))))
@@ -53,8 +88,29 @@ def json_group_array(x: Column, *order: Column) -> Column:
 
 
 def json_group_object(k: Column, v: Column) -> Column:
+    """Pairs in the order of key and value; a key that comes several times stays so, as text can hold it."""
     pairs = F.array_sort(F.collect_list(F.struct(k.cast("string").alias("k"), v.alias("v"))))
-    return F.to_json(F.map_from_entries(pairs), {"ignoreNullFields": "false"})
+    text = F.transform(pairs, lambda p: F.concat(jsontext.quote(p["k"]), F.lit(":"), jsontext.quote(p["v"])))
+    return F.concat(F.lit("{"), F.array_join(text, ","), F.lit("}"))
+
+
+def geometric_mean(kind: str = "double"):
+    """An aggregate function of a user's own: step and value over Arrow batches."""
+
+    @F.pandas_udf(kind)
+    def run(x: pd.Series) -> float:
+        x = x[x > 0]
+        return float(np.exp(np.log(x).mean())) if len(x) else None
+
+    return run
+
+
+def outer_concat(outer: DataFrame, inner: DataFrame, value: str, sep: str, order: list[Column]) -> DataFrame:
+    """SELECT (SELECT string_agg(value, sep ORDER BY ...) FROM inner) FROM outer, where the value is the outer row's: it stands once for each inner row, with
+    the inner rows' separators between. The separators are joined once, then each row only repeats its value."""
+    seps = inner.agg(F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(sep).alias("s")))), lambda r: r["s"]).alias("_seps"))
+    tail = F.aggregate(F.slice(F.col("_seps"), 2, F.greatest(F.size("_seps") - 1, F.lit(0))), F.col(value), lambda s, x: F.concat(s, x, F.col(value)))
+    return outer.join(F.broadcast(seps), F.lit(True), "left").withColumn("joined", F.when(F.size("_seps") > 0, tail)).drop("_seps")  # one row
 
 
 def first_scalar(df: DataFrame, value: str, order: list[str]) -> Column:
@@ -79,3 +135,30 @@ def range_join(points: DataFrame, ranges: DataFrame, x: str, lo: str, hi: str, w
     p = points.withColumn("_b", F.floor(F.col(x) / width))
     r = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
     return p.join(r, "_b").where((F.col(x) >= F.col(lo)) & (F.col(x) <= F.col(hi))).drop("_b")
+
+
+def log_sum(kind: str = "double"):
+    """A step of a user's aggregate over Arrow batches: the sum of the logarithms."""
+
+    @F.pandas_udf(kind)
+    def run(x: pd.Series) -> float:
+        return float(np.log(x[x > 0]).sum())
+
+    return run
+
+
+def positive_count(kind: str = "bigint"):
+    @F.pandas_udf(kind)
+    def run(x: pd.Series) -> int:
+        return int((x > 0).sum())
+
+    return run
+
+
+def evaluate(spark, sql: str, sep: str = " ", **frames: DataFrame) -> DataFrame:
+    """eval(sql, sep): one row, ``result``, of all values of the SQL's rows in their order, joined. It is one value, so its rows come together."""
+    rows = spark.sql(sql, **frames)
+    text = F.concat_ws(sep, *[F.col(f"`{c}`").cast("string") for c in rows.columns])
+    numbered = rows.select(F.monotonically_increasing_id().alias("_i"), text.alias("_t"))
+    got = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda r: r["_t"])
+    return numbered.agg(F.array_join(got, sep).alias("result"))

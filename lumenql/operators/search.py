@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import strings
+
 
 def tokens(docs: DataFrame, id_col: str, text_col: str, kind: str = "ascii") -> DataFrame:
     """(id, pos, term): the ascii tokenizer takes runs of letters and digits, A-Z lower-cased; trigram all runs of three characters."""
@@ -53,16 +56,23 @@ def near(index: DataFrame, a: str, b: str, most: int) -> DataFrame:
     return places.where(close).select("id")
 
 
-def bm25(index: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score): the sum over the terms of idf * tf (k1 + 1) / (tf + k1 (1 - b + b len / mean len))."""
-    size = index.groupBy("id").agg(F.count("*").alias("len"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = index.where(F.col("term").isin(terms)).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(F.broadcast(df), "term").join(size, "id").join(F.broadcast(stats), F.lit(True))  # as many rows as terms; one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return rows.groupBy("id").agg(F.sum(part).alias("score"))
+def bm25(docs: DataFrame, id_col: str, text_col: str, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of rows that hold a word: the sum over the words of idf * tf (k1 + 1) / (tf + k1 (1 - b + b len / mean len)).
+
+    Each text is cut into tokens where it is read, and counted there; only one row of statistics is shuffled and comes back to all.
+    """
+    chosen = [w.lower() for w in dict.fromkeys(words)]
+    each = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_t")).where(F.size("_t") > 0)
+    often = lambda w: F.size(F.filter("_t", lambda t: t == w))
+    counted = each.select("id", F.size("_t").alias("len"), *[often(w).alias(f"tf{i}") for i, w in enumerate(chosen)])
+    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(chosen))])
+    rows = counted.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(chosen))])).join(F.broadcast(stats), F.lit(True))  # one row
+    score = F.lit(0.0)
+    for i in range(len(chosen)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return rows.select("id", score.alias("score"))
 
 
 def vocabulary(index: DataFrame) -> DataFrame:
@@ -90,3 +100,207 @@ def overlap_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
 def in_circle(x: Column, y: Column, cx: float, cy: float, r: float) -> Column:
     return (x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r
+
+
+def terms(text: Column, kind: str = "ascii", token_chars: str = "") -> Column:
+    """The tokens of a text as an array, in order: ascii and simple (A-Z lower-cased), unicode61 (marks removed, too), trigram. ``token_chars`` are taken as
+    letters."""
+    t = F.lower(text)
+    if kind == "trigram":
+        return F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    if kind == "unicode61":
+        t = strings.unaccent(t)
+    more = re.sub(r"([\\\]\[^-])", r"\\\1", token_chars)
+    return F.regexp_extract_all(t, F.lit(rf"([\p{{L}}\p{{N}}{more}]+)"), F.lit(1))
+
+
+_QUERY = re.compile(r'\s*(?:(NEAR)\s*\(|([(){}:+^,])|(-)(?=\s*[\w{"])|"((?:[^"]|"")*)"(\*?)|([\w\u0080-\U0010ffff]+)(\*?))')
+
+
+def _lex(query: str) -> list[tuple[str, str, bool]]:
+    """(kind, text, whether a * follows): near, a mark as its own kind, word, phrase, and, or, not."""
+    out, at = [], 0
+    query = query.rstrip()
+    while at < len(query):
+        m = _QUERY.match(query, at)
+        if not m:
+            raise ValueError(f"syntax error near {query[at:at + 10]!r}")
+        if m[1]:
+            out.append(("near", "", False))
+        elif m[2] or m[3]:
+            out.append((m[2] or m[3], "", False))
+        elif m[4] is not None:
+            out.append(("phrase", m[4].replace('""', '"'), bool(m[5])))
+        elif m[6] in ("AND", "OR", "NOT") and not m[7]:
+            out.append((m[6].lower(), "", False))
+        else:
+            out.append(("word", m[6], bool(m[7])))
+        at = m.end()
+    return out
+
+
+class _Query:
+    """A parser of full-text queries, straight to conditions on token arrays: OR binds least, then AND (also between phrases side by side), then NOT."""
+
+    def __init__(self, columns: dict[str, Column], query: str) -> None:
+        self.columns, self.left = columns, _lex(query)
+
+    def peek(self) -> str:
+        return self.left[0][0] if self.left else ""
+
+    def take(self, kind: str) -> tuple[str, str, bool]:
+        if self.peek() != kind:
+            raise ValueError(f"syntax error: {kind} expected")
+        return self.left.pop(0)
+
+    def disjunction(self, names: list[str]) -> Column:
+        out = self.conjunction(names)
+        while self.peek() == "or":
+            self.take("or")
+            out = out | self.conjunction(names)
+        return out
+
+    def conjunction(self, names: list[str]) -> Column:
+        out = self.difference(names)
+        while self.peek() and self.peek() not in ("or", ")"):
+            if self.peek() == "and":
+                self.take("and")
+            out = out & self.difference(names)
+        return out
+
+    def difference(self, names: list[str]) -> Column:
+        out = self.item(names)
+        while self.peek() == "not":
+            self.take("not")
+            out = out & ~self.item(names)
+        return out
+
+    def item(self, names: list[str]) -> Column:
+        kind = self.peek()
+        if kind == "-" or kind == "{" or kind == "word" and len(self.left) > 1 and self.left[1][0] == ":":
+            names = self.column_set(names)
+            return self.item(names)
+        if kind == "(":
+            self.take("(")
+            out = self.disjunction(names)
+            self.take(")")
+            return out
+        if kind == "near":
+            return self.near(names)
+        first = kind == "^"
+        if first:
+            self.take("^")
+        words = self.phrase()
+        hits = [places(self.columns[n], words, first) for n in names]
+        return reduce(lambda a, b: a | b, [F.size(h) > 0 for h in hits], F.lit(False))
+
+    def column_set(self, names: list[str]) -> list[str]:
+        other = self.peek() == "-"
+        if other:
+            self.take("-")
+        if self.peek() == "{":
+            self.take("{")
+            chosen = []
+            while self.peek() == "word":
+                chosen.append(self.take("word")[1])
+            self.take("}")
+        else:
+            chosen = [self.take("word")[1]]
+        self.take(":")
+        if unknown := set(chosen) - set(self.columns):
+            raise ValueError(f"no such column: {unknown.pop()}")
+        return [n for n in names if (n in chosen) != other]
+
+    def phrase(self) -> list[tuple[str, bool]]:
+        """Tokens, the last of which may be a prefix; + joins phrases."""
+        out: list[tuple[str, bool]] = []
+        while True:
+            kind, text, star = self.left.pop(0) if self.left else ("", "", False)
+            if kind not in ("word", "phrase"):
+                raise ValueError("syntax error: a word expected")
+            got = re.findall(r"[^\W_]+", text.lower())
+            out += [(t, False) for t in got]
+            if star and out:
+                out[-1] = (out[-1][0], True)
+            if self.peek() != "+":
+                return out
+            self.take("+")
+
+    def near(self, names: list[str]) -> Column:
+        self.take("near")
+        parts = []
+        while self.peek() in ("word", "phrase"):
+            parts.append(self.phrase())
+        most = 10
+        if self.peek() == ",":
+            self.take(",")
+            most = int(self.take("word")[1])
+        self.take(")")
+        hits = []
+        for n in names:
+            at = [places(self.columns[n], p, False) for p in parts]
+            # a window of places that holds all: for each start of any phrase, the first start of every one at or after it
+            starts = reduce(F.array_union, at)
+            ends = lambda s, at=at: reduce(F.greatest, [F.array_min(F.filter(a, lambda x: x >= s)) + len(p) for a, p in zip(at, parts)]) if len(at) > 1 else s + len(parts[0])
+            whole = lambda s, at=at: reduce(lambda a, b: a & b, [F.exists(a, lambda x: x >= s) for a in at])
+            total = sum(map(len, parts))
+            hits.append(F.exists(starts, lambda s: whole(s) & (ends(s) - s - total <= most)))
+        return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+
+def places(tokens_: Column, words: list[tuple[str, bool]], first: bool = False) -> Column:
+    """0-based places in a token array at which a phrase stands; with ``first`` only the beginning."""
+    if not words:
+        return F.array().cast("array<int>")
+    n = F.size(tokens_)
+    at = F.when(n >= len(words), F.sequence(F.lit(0), n - len(words))).otherwise(F.array().cast("array<int>"))
+    if first:
+        at = F.slice(at, 1, 1)
+
+    def here(i: Column) -> Column:
+        tests = []
+        for k, (w, prefix) in enumerate(words):
+            t = F.get(tokens_, i + k)
+            tests.append(t.startswith(w) if prefix else t == w)
+        return reduce(lambda a, b: a & b, tests)
+
+    return F.filter(at, here)
+
+
+def matches(columns: dict[str, Column], query: str, kind: str = "ascii") -> Column:
+    """Whether a row matches a full-text query: words, "phrases", prefix*, ^first, a + b, NEAR(a b, n), {column sets} : and - {..} :, NOT, AND, OR, (..).
+
+    One condition on the row's own tokens, so a search is a scan with a filter: no index, no shuffle. Null text has no tokens.
+    """
+    arrays = {n: F.coalesce(terms(c, kind), F.array().cast("array<string>")) for n, c in columns.items()}
+    parser = _Query(arrays, query)
+    out = parser.disjunction(list(columns))
+    if parser.left:
+        raise ValueError(f"syntax error near {parser.left[0][0]!r}")
+    return out
+
+
+def offsets(text: Column, phrase_: str) -> Column:
+    """Token places of a phrase in a text, from 0."""
+    words = [(w, False) for w in re.findall(r"[^\W_]+", phrase_.lower())]
+    return F.coalesce(places(terms(text), words), F.array().cast("array<int>"))
+
+
+def snippet(text: Column, words: list[str], size: int, before: str = "[", after: str = "]", gap: str = "\u2026") -> Column:
+    """``size`` tokens of the text with most hits marked, the first such run that begins with one; what is left out is a gap. Text without a hit comes back whole."""
+    parts = F.split(F.trim(text), r"\s+")
+    hit = lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")).isin([w.lower() for w in words])
+    marked = F.transform(parts, lambda t: F.when(hit(t), F.concat(F.lit(before), t, F.lit(after))).otherwise(t))
+    starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: hit(F.element_at(parts, i)))
+    scored = F.transform(starts, lambda i: F.struct((-F.size(F.filter(F.slice(parts, i, F.lit(size)), hit))).alias("s"), i.alias("i")))
+    best = F.array_min(scored)["i"]
+    body = F.array_join(F.slice(marked, best, F.lit(size)), " ")
+    cut = F.concat(F.when(best > 1, gap).otherwise(""), body, F.when(best + size <= F.size(parts), gap).otherwise(""))
+    return F.when(best.isNull(), text).otherwise(cut)
+
+
+def spelling(words: DataFrame, wanted: str, most: int, top: int | None = None) -> DataFrame:
+    """(word, distance) of vocabulary words at most so many edits from the wanted one, the nearest ``top`` of them; lengths alone rule most words out."""
+    near = words.where(F.abs(F.length("word") - len(wanted)) <= most)
+    got = near.select("word", F.levenshtein("word", F.lit(wanted)).alias("distance")).where(F.col("distance") <= most)
+    return got if top is None else got.orderBy("distance", "word").limit(top)

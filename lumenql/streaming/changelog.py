@@ -8,15 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for shared state; one of its own only where none is named."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        import tempfile
-
-        got = tempfile.mkdtemp(prefix="lumenql-stream-")
-    return got
+from ..operators.recursive import shared_folder
 
 
 def source(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -60,3 +52,9 @@ def gtid_set(events: DataFrame, domain: str, seq: str, pos: str) -> DataFrame:
 def lag(events: DataFrame, ts: str, now) -> DataFrame:
     """Seconds the newest event is behind."""
     return events.agg((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.max(ts).cast("timestamp"))).alias("seconds_behind"))
+
+
+def interval(spark: SparkSession, start: str, seconds: int, n: int) -> DataFrame:
+    """(tick): the first n times of a periodic timer, the first one period after its start."""
+    first = F.unix_seconds(F.lit(start).cast("timestamp"))
+    return spark.range(1, n + 1).select(F.timestamp_seconds(first + F.col("id") * seconds).alias("tick"))
