@@ -41,15 +41,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.005, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected.
+    """``docs`` with lang_pred, score and rejected; columns of the caller with these names are replaced.
 
     Every whole text is compressed once with each dictionary; the language that leaves the fewest
-    bytes is chosen. score is the runner-up's excess over it, from 0 to 1 (1 with one language
+    bytes is chosen, of equal ones the first by name. score is the runner-up's excess over it, from 0 to 1 (1 with one language
     only). rejected: the score is below ``margin``. Null text, or text without a letter, is ``und`` with score 0,
     rejected. The dictionaries, of bounded size, are broadcast.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)
+    docs = docs.drop("lang_pred", "score", "rejected")
     names = [f.name for f in docs.schema]
     at = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
