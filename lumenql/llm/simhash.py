@@ -231,11 +231,12 @@ def simhash_components(
 
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` with one row of each class of ``simhash_components``: that of the smallest doc_id (nulls count as the
-    largest), among rows of one id the text of smallest hash. All columns stay."""
-    keyed = docs.withColumn("_who", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_key", null_safe_key("text"))
+    largest), among rows of one id the text of smallest hash. All columns stay, whatever their names; an empty table gives no rows."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_rest"))
+    keyed = packed.withColumn("_who", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_key", null_safe_key("text"))
     got = simhash_components(keyed.select("_who", "_key", "text"), shingle, radius, id_col="_who", extra="_key")
     best = got.groupBy("component_id", "fp").agg(F.min(F.struct("doc_id", "_key")).alias("s")).groupBy("component_id").agg(F.min("s").alias("s"))
     best = best.select(F.col("s.doc_id").alias("_who"), F.col("s._key").alias("_key"))
     one = Window.partitionBy("_who", "_key").orderBy(F.lit(1))
     kept = keyed.join(best, ["_who", "_key"], "left_semi").withColumn("_i", F.row_number().over(one)).where("_i = 1")
-    return kept.select(*docs.columns)
+    return kept.select("_rest.*")
