@@ -13,10 +13,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, cut, release, small_batches
+from .common import claim, cut, join_split, release, small_batches
 
 ORDER = 5
 #: Trusted ids and model rows are broadcast up to these many; beyond, both become shuffled joins.
@@ -133,7 +133,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(4, int(len(keys) * 1.5).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.zeros(1 << self.bits, np.float32)
+        self.values = np.zeros(1 << self.bits, np.float64)
         left = np.arange(len(keys))
         slot = self._slot(keys)
         while len(left):
@@ -156,7 +156,7 @@ class Table:
         slot = self._slot(keys)
         k = self.keys[slot]
         found = k == keys
-        value = np.where(found, self.values[slot], np.float32(0))
+        value = np.where(found, self.values[slot], 0.0)
         left = np.flatnonzero(~found & (k != 0))
         while len(left):
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
@@ -179,7 +179,7 @@ class Scorer:
                 if k == 0:
                     continue
                 codes = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
-                into[k] = Table(_keys(codes, k)[::k] if len(at) else np.zeros(0, np.uint64), of[at].astype(np.float32))
+                into[k] = Table(_keys(codes, k)[::k] if len(at) else np.zeros(0, np.uint64), of[at])
         root = np.flatnonzero((by == 0) & ~np.isnan(backoff))
         self.floor = float((backoff[root[0]] if len(root) else 0.0) - np.log(ALPHABET))
 
@@ -298,20 +298,25 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
 
 
 def _joined(need: DataFrame, model: DataFrame, order: int, name: str) -> DataFrame:
-    """``need`` and the log probability of each gram's last character, by joins with the model's shards, order by order."""
+    """``need`` and the log probability of each gram's last character. The different grams meet the model's shards, order by order, and what they
+    give comes back to all rows. Parts of grams that many share, as single letters, and frequent grams are joined by broadcast of those few."""
     root = model.where("gram = ''").select("backoff").first()
     value = F.lit(float((root[0] if root and root[0] is not None else 0.0) - np.log(ALPHABET)))
-    names = need.columns
+    grams = cut(need.groupBy("gram").agg(F.count("*").alias("_held")))
+
+    def looked_up(rows: DataFrame, key: str, part: Column, of: str, to: str) -> DataFrame:
+        rows = rows.withColumn(key, part)
+        known = model.where(F.col(of).isNotNull()).select(F.col("gram").alias(key), F.col(of).alias(to))
+        return join_split(rows, cut(rows.groupBy(key).agg(F.count("*").alias("n")).join(known, key, "left")), key).drop("n", key)
+
     for k in range(1, order + 1):
-        p = model.select(F.col("gram").alias(f"g{k}"), F.col("logp").alias(f"p{k}")).where(f"p{k} is not null")
-        need = need.withColumn(f"g{k}", F.substring("gram", order - k + 1, k)).join(p, f"g{k}", "left")
+        grams = looked_up(grams, "_g", F.substring("gram", order - k + 1, k), "logp", f"p{k}")
         if k > 1:
-            w = model.select(F.col("gram").alias(f"c{k}"), F.col("backoff").alias(f"w{k}")).where(f"w{k} is not null")
-            need = need.withColumn(f"c{k}", F.substring("gram", order - k + 1, k - 1)).join(w, f"c{k}", "left")
+            grams = looked_up(grams, "_g", F.substring("gram", order - k + 1, k - 1), "backoff", f"w{k}")
             value = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(0.0)) + value)
         else:
             value = F.coalesce(F.col("p1"), value)
-    return need.select(*names, value.alias(name))
+    return join_split(need, cut(grams.select("gram", F.col("_held").alias("_n"), value.alias(name))), "gram", "_n").drop("_n")
 
 
 def _score_sharded(docs: DataFrame, model: DataFrame, order: int, keep_text: bool = False, toxic: DataFrame | None = None) -> DataFrame:
@@ -338,7 +343,7 @@ def _score_sharded(docs: DataFrame, model: DataFrame, order: int, keep_text: boo
                 out.append(None)
         return pa.array(out, pa.float64())
 
-    need = _joined(rows.select("_row", "text").mapInArrow(run, "_row long, gram string, n long"), model, order, "v")
+    need = _joined(cut(rows.select("_row", "text").mapInArrow(run, "_row long, gram string, n long")), model, order, "v")
     sums = [(-F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("log_perplexity")]
     if toxic is None:
         out = rows.join(need.groupBy("_row").agg(*sums), "_row", "left").withColumn("toxicity", F.lit(None).cast("double"))
