@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-#: Samples of a fingerprint, and the largest weight that is drawn as one.
+#: Samples of a fingerprint, the largest weight that is drawn as one, and how often each such part is drawn.
 SAMPLES = 128
 CHUNK = 4
+DRAWS = 3
 SEED = 20_011
 
 
@@ -24,24 +25,26 @@ def samples(terms: DataFrame, keys: list[str], weights: list[str], n: int = SAMP
 
     ``terms`` has one row per keys and term, with a long column ``term`` and non-negative integer weights; a
     weight of 0 leaves the term out. A weight is split into chunks of ``chunk`` at most, the i-th of one document facing
-    the i-th of another, which leaves sums of minima and maxima as they are; a hash deals the chunks to the bins, so that no
-    heavy term has one bin's say alone. Each chunk has r and c from Gamma(2, 1) and b from [0, 1), fixed by hashes:
+    the i-th of another, which leaves sums of minima and maxima as they are. Each chunk is drawn DRAWS times, and a hash deals the draws to the bins, so that
+    no heavy term has one bin's say alone, and short texts fill more bins. Each draw has r and c from Gamma(2, 1) and b from [0, 1), fixed by hashes:
     t = floor(ln w / r + b), ln a = ln c - r (t - b + 1). The chunk of least a is its bin's sample, together
     with its t; two weighted sets then have equal samples with the probability of the generalised Jaccard
     similarity of what the bin holds, whose mean over the bins is that of the sets. One long holds ln a
     in its upper and a hash of (chunk, t) in its lower half, so a sample is a plain minimum, combined before any shuffle,
-    and each chunk is drawn once and not once for each sample.
+    and each chunk is drawn DRAWS times and not once for each sample.
 
     With ``facts``, rows whose column ``kind`` is from 1 to that are no terms: they bring a number, their ``term``, through
     the same aggregations, to the column fact_<kind>; null where there was none.
     """
     kind = F.col("kind") if facts else F.lit(0)
     top = F.greatest(*weights, F.lit(1))
-    rows = terms.select(*keys, kind.alias("kind"), "term", *weights, F.explode(F.sequence(F.lit(0), F.floor((top - 1) / chunk).cast("int"))).alias("_i"))
+    # the j-th draw is that of chunk j / DRAWS
+    last = F.when(kind == 0, (F.floor((top - 1) / chunk).cast("int") + 1) * DRAWS - 1).otherwise(0)
+    rows = terms.select(*keys, kind.alias("kind"), "term", *weights, F.explode(F.sequence(F.lit(0), last)).alias("_j")).withColumn("_i", F.floor(F.col("_j") / DRAWS).cast("int"))
     right = F.shiftrightunsigned
     hashed = rows.select(
         *keys, "kind", "term", *[F.least(F.col(w) - F.col("_i") * chunk, F.lit(chunk)).alias(w) for w in weights],
-        F.xxhash64("term", "_i", F.lit(SEED)).alias("_h"), F.xxhash64("term", "_i", F.lit(SEED + 1)).alias("_g"), F.xxhash64("term", "_i", F.lit(SEED + 2)).alias("_k"),
+        F.xxhash64("term", "_j", F.lit(SEED)).alias("_h"), F.xxhash64("term", "_j", F.lit(SEED + 1)).alias("_g"), F.xxhash64("term", "_j", F.lit(SEED + 2)).alias("_k"),
     )
     drawn = hashed.select(
         *keys, "kind", "term", *weights, F.when(F.col("kind") > 0, -F.col("kind")).otherwise(F.pmod("_k", F.lit(n))).cast("int").alias("_bin"), right("_k", 32).alias("_tag"),
@@ -103,7 +106,7 @@ def fingerprint_chain(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         bounds = [0]
     edges = F.lit(bounds).cast("array<bigint>")
     last = len(bounds)
-    # the number of bounds at or below the key, by bisection in a cascade over the sorted literal
+    # the number of bounds at or below the key, of a list as long as there are blocks
     place = F.size(F.filter(edges, lambda x: x <= F.col("_key")))
     given = docs.select(key.alias("_key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     first = F.array_contains(edges, F.col("_key"))
