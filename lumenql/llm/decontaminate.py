@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, release, small_batches
+from .common import claim, cut, release, small_batches
 
-#: Words of one automaton; more items make more automata, each broadcast and run on its own.
+#: Words of one automaton; more items make more automata, each a pass of its own.
 MAX_WORDS = 1_000_000
 WINDOW = 13
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 0x80 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
@@ -141,75 +141,101 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> list[Automaton]:
-    """Automata over all items, ``max_words`` words or one item each. Items of null id or without words
-    have no windows. Texts of test sets reach the driver; how many is measured first."""
+def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> Iterator[Automaton]:
+    """Automata over all items, one after another, of ``max_words`` words or one item each; at least one. Items of null id or without words
+    have no windows. Items stream through the driver, which holds one automaton at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 2_000_000_000:
-        raise ValueError(f"benchmark of {size} characters; split it into several calls")
-    chunk, n, out = [], 0, []
+    chunk, n, made = [], 0, 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         words = words_of(r["text"])
         if chunk and n + len(words) > max_words:
-            out.append(Automaton(chunk, window))
-            chunk, n = [], 0
+            yield Automaton(chunk, window)
+            chunk, n, made = [], 0, made + 1
         chunk.append((r["item_id"], words))
         n += len(words)
-    return [*out, Automaton(chunk, window)] if chunk or not out else out
+    if chunk or not made:
+        yield Automaton(chunk, window)
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_words: int = 20, max_words: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per document.
+_HITS = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
-    contaminated: some word is hit, and at least one in ``per_words``.
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int, finish: Callable[[list], pa.RecordBatch], schema: str) -> DataFrame:
+    """``finish`` of what all automata find. It gets columns: _rest (a struct of all others), text, and lists of each text's words, spans [a, b) and
+    names of items.
+
+    Every automaton is a pass over the texts, so that a worker holds one at a time, whatever the benchmark's size; the hits of those before are kept beside
+    the texts in a checkpoint. A benchmark of up to ``max_words`` words takes one pass, from scan to result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim({})
-        for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for t in b.column(1):
-                words = words_of(t.as_py())
-                spans: list[tuple[int, int]] = []
-                names: set[str] = set()
-                for s in shared:
-                    got, found = s.value.scan(words)
-                    spans += got
-                    names.update(s.value.items[k] for k in found)
-                hit = sum(y - x for x, y in merged(spans))
-                row = (len(words), hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), hit > 0 and per_words * hit >= len(words))
-                for col, v in zip(cols, row):
-                    col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-        release()
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    )
+    kind = docs.schema["text"].dataType.simpleString()
+    state = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"), "text", F.array().cast("array<struct<a: bigint, b: bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    rest = state.schema["_rest"].dataType.simpleString()
+
+    def over(a: Automaton, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        shared = spark.sparkContext.broadcast(a)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim({})
+            machine = shared.value
+            for b in batches:
+                counts, spans, items = [], [], []
+                for t, old, names in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    words = words_of(t.as_py())
+                    got, found = machine.scan(words)
+                    counts.append(len(words))
+                    spans.append(merged([*((x["a"], x["b"]) for x in old), *got]))
+                    items.append(sorted({*names, *(machine.items[k] for k in found)}))
+                if last:
+                    yield finish([b.column(0), b.column(1), counts, spans, items])
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0), b.column(1), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], pa.list_(_HITS)), pa.array(items, pa.list_(pa.string()))], ["_rest", "text", "spans", "items"]
+                    )
+            release()
+
+        return run
+
+    machines = automata(benchmark, window, max_words)
+    here = next(machines)
+    for after in machines:
+        state = cut(state.mapInArrow(over(here, False), f"_rest {rest}, text {kind}, spans array<struct<a: bigint, b: bigint>>, items array<string>"))
+        here = after
+    return state.mapInArrow(over(here, True), schema)
+
+
+def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_words: int = 20, max_words: int = MAX_WORDS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per document, for each row; null texts have no words.
+
+    contaminated: some word is hit, and at least one in ``per_words``.
+    """
+
+    def finish(cols: list) -> pa.RecordBatch:
+        rest, _, counts, spans, items = cols
+        out: list[list] = [[], [], [], [], []]
+        for n, cuts, names in zip(counts, spans, items):
+            hit = sum(y - x for x, y in cuts)
+            row = (n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and per_words * hit >= n)
+            for col, v in zip(out, row):
+                col.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        return pa.RecordBatch.from_arrays([rest.field(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
+
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _scanned(given, benchmark, window, max_words, finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` without what occurs in test items: hit spans are cut from the texts, and documents of
     which ``coverage`` or more of the words are hit go. Clean documents stay as they are, as do null
     texts; all columns stay (n_chars, if there is one, follows the text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words)]
-    at, schema = docs.columns.index("text"), docs.schema
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-
-    def clean(text: str | None) -> str | None:
-        words = words_of(text)
-        spans = [x for s in shared for x in s.value.scan(words)[0]]
-        if not spans:
+
+    def clean(text: str | None, n: int, cuts: list[list[int]]) -> str | None:
+        if not cuts:
             return text
-        cuts = merged(spans)
-        if sum(b - a for a, b in cuts) >= coverage * len(words):
+        if sum(b - a for a, b in cuts) >= coverage * n:
             return ""
         raw = text.encode("utf-8")
         inside = np.frombuffer(raw.translate(_TABLE), dtype=np.uint8) != 32
@@ -220,18 +246,17 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
             last = int(edges[b - 1][1])
         return b"".join([*out, raw[last:]]).decode("utf-8")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim({})
-        for b in batches:
-            old = b.column(at).to_pylist()
-            new = [clean(t) for t in old]
-            keep = np.array([not (o and not n) for o, n in zip(old, new)], dtype=bool)
-            cols = list(b.columns)
-            cols[at] = pa.array(new, cols[at].type)
-            if chars is not None:
-                was = cols[chars].to_pylist()
-                cols[chars] = pa.array([w if n == o else len(n) for o, n, w in zip(old, new, was)], cols[chars].type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
-        release()
-
-    return docs.mapInArrow(run, schema)
+    def finish(cols: list) -> pa.RecordBatch:
+        rest, texts, counts, spans, _ = cols
+        out = dict(zip([c for c in names if c != "text"], rest.flatten())) | {"text": texts}
+        old = texts.to_pylist()
+        new = [clean(t, n, s) for t, n, s in zip(old, counts, spans)]
+        keep = np.array([not (o and not n) for o, n in zip(old, new)], dtype=bool)
+        out["text"] = pa.array(new, texts.type)
+        if "n_chars" in out:
+            was = out["n_chars"].to_pylist()
+            out["n_chars"] = pa.array([w if n == o else len(n) for o, n, w in zip(old, new, was)], out["n_chars"].type)
+        return pa.RecordBatch.from_arrays([out[c] for c in names], names).filter(pa.array(keep))
+
+    names = docs.columns
+    return _scanned(docs, benchmark, window, max_words, finish, docs.schema)
