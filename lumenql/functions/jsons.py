@@ -198,3 +198,17 @@ class JsonTree:
         elif isinstance(x, list):
             for i, v in enumerate(x):
                 yield from self.walk(str(i), v, f"{full}[{i}]")
+
+
+def jsonb(j: Column) -> Column:
+    """The binary form: a Variant, which the JVM reads without parsing text again. Null for what is no JSON."""
+    return F.try_parse_json(j)
+
+
+def jsonb_extract(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
+
+
+def jsonb_text(v: Column) -> Column:
+    """JSON text of a binary value; its keys are in their binary order."""
+    return F.to_json(v)

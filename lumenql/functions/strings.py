@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import re
 import unicodedata
 
@@ -395,3 +396,63 @@ def _general(x: Column, p: Column | None) -> Column:
     decimals = F.array(*[F.format_string(f"%.{k}f", x) for k in range(22)])
     fixed = F.element_at(decimals, F.least(F.greatest(digits - exponent, F.lit(1)), F.lit(22)))
     return F.when((exponent < -4) | (exponent >= digits), F.concat(short(mantissa), F.regexp_extract(e, "(e[-+][0-9]+)$", 1))).otherwise(short(fixed))
+
+
+def weighted_distance(a: str, b: str, costs: dict[tuple[str, str], int], insert: int = 100, delete: int = 100, substitute: int = 150) -> int:
+    """The least cost to turn a into b. ``costs`` prices replacing one piece of text by another, either of which may be empty; characters
+    without a price have the general ones."""
+    n, m = len(a), len(b)
+    best = [[math.inf] * (m + 1) for _ in range(n + 1)]
+    best[0][0] = 0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            here = best[i][j]
+            if here == math.inf:
+                continue
+            if i < n and j < m:
+                best[i + 1][j + 1] = min(best[i + 1][j + 1], here + (0 if a[i] == b[j] else substitute))
+            if i < n:
+                best[i + 1][j] = min(best[i + 1][j], here + delete)
+            if j < m:
+                best[i][j + 1] = min(best[i][j + 1], here + insert)
+            for (x, y), cost in costs.items():
+                if a.startswith(x, i) and b.startswith(y, j) and (x or y):
+                    best[i + len(x)][j + len(y)] = min(best[i + len(x)][j + len(y)], here + cost)
+    return int(best[n][m])
+
+
+def edit_distance3(a, b, costs: dict[tuple[str, str], int]) -> Column:
+    """Edit distance by a table of costs; null where either is."""
+    return _pairs(lambda x, y: weighted_distance(x, y, costs), "int")(a, b)
+
+
+#: Latin spellings of Greek and Cyrillic letters, in the order of the letters from U+03B1 to U+03C9 and U+0430 to U+044F.
+GREEK = "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split()
+CYRILLIC = "a b v g d e zh z i y k l m n o p r s t u f kh ts ch sh shch ' y ' e yu ya".split()
+
+
+def transliterate(s: Column) -> Column:
+    """Text in ASCII: marks go, Greek and Cyrillic letters are spelt in Latin ones, what else isn't ASCII becomes a question mark."""
+    table = {chr(0x3B1 + i): v for i, v in enumerate(GREEK)} | {chr(0x430 + i): v for i, v in enumerate(CYRILLIC)} | {"\u00df": "ss", "\u00e6": "ae", "\u00f8": "o", "\u0111": "d", "\u0142": "l", "\u0153": "oe"}
+    table |= {x: table[y] for x in map(chr, range(0x370, 0x400)) if (y := unicodedata.normalize("NFD", x)[0]) != x and y in table}
+    table |= {k.upper(): v.capitalize() for k, v in table.items() if len(k.upper()) == 1 and k.upper() != k}
+    plain = unaccent(s)
+    for k, v in table.items():  # as many as there are letters
+        plain = F.replace(plain, F.lit(k), F.lit(v))
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "?")
+
+
+#: ISO 15924 numbers of scripts.
+SCRIPTS = {"Latin": 215, "Greek": 200, "Cyrillic": 220, "Hebrew": 125, "Arabic": 160}
+
+
+def script_code(s: Column) -> Column:
+    """The number of the one script of a text's letters; 998 for several, 999 for none known."""
+    has = [(F.when(s.rlike(rf"\p{{Is{name}}}"), n)) for name, n in SCRIPTS.items()]
+    found = F.array_compact(F.array(*has))
+    return F.when(s.isNull(), None).when(F.size(found) == 0, 999).when(F.size(found) > 1, 998).otherwise(F.get(found, F.lit(0)))
+
+
+def casefold(s: Column) -> Column:
+    """Text for comparison without regard to case: lower case of upper case, sharp s as ss."""
+    return F.replace(F.lower(F.upper(s)), F.lit("\u00df"), F.lit("ss"))

@@ -231,3 +231,14 @@ def read_version(segments: DataFrame, branches: list[tuple[str, int]], key: str)
         priority = F.when((F.col("branch") == name) & (F.col("version") <= v), i).otherwise(priority)
     best = Window.partitionBy(key).orderBy("_p", F.desc("version"))
     return segments.withColumn("_p", priority).where("_p is not null").withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_p", "_r")
+
+
+def feed(clock: DataFrame, pks: DataFrame, sites: DataFrame, table: str) -> DataFrame:
+    """The change feed of a replicated table: (tbl, pk, cid, col_version, db_version, site_id, seq, cl).
+
+    ``clock``: (key, cid, col_version, db_version, site, seq) with the sentinel of a row under cid '-1'; ``pks``: (key, pk); ``sites``: (site, site_id), null for
+    the table's own. A row's causal length is its sentinel's version, 1 without one. Union the feeds of several tables for all.
+    """
+    lengths = clock.where("cid = '-1'").select("key", F.col("col_version").alias("cl"))
+    rows = clock.join(pks, "key").join(sites, "site", "left").join(lengths, "key", "left")
+    return rows.select(F.lit(table).alias("tbl"), "pk", "cid", "col_version", "db_version", "site_id", "seq", F.coalesce("cl", F.lit(1)).alias("cl"))

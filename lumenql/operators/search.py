@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from functools import reduce
 
@@ -304,3 +305,39 @@ def spelling(words: DataFrame, wanted: str, most: int, top: int | None = None) -
     near = words.where(F.abs(F.length("word") - len(wanted)) <= most)
     got = near.select("word", F.levenshtein("word", F.lit(wanted)).alias("distance")).where(F.col("distance") <= most)
     return got if top is None else got.orderBy("distance", "word").limit(top)
+
+
+def match_info(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
+    """(id, word, hits, hits_all, rows_all) for rows that hold a word: how often in the row, in all rows, and in how many rows."""
+    each = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("_t"))
+    often = lambda w: F.size(F.filter("_t", lambda t: t == w))
+    counted = each.select("id", F.explode(F.array(*[F.struct(F.lit(w).alias("word"), often(w).alias("hits")) for w in words])).alias("x")).select("id", "x.*").where("hits > 0")
+    every = counted.groupBy("word").agg(F.sum("hits").alias("hits_all"), F.count("*").alias("rows_all"))
+    return counted.join(F.broadcast(every), "word").select("id", "word", "hits", "hits_all", "rows_all")  # as many rows as words
+
+
+def fuzzed(word: str, rules: list[tuple[str, str, int]], most: int) -> list[tuple[str, int]]:
+    """What rules (from, to, cost) make of a word, with the least cost of each up to ``most``, the cheapest first; rules cost more than nothing."""
+    if any(cost <= 0 for *_, cost in rules):
+        raise ValueError("rules cost more than 0")
+    done: dict[str, int] = {}
+    todo = [(0, word)]
+    while todo:
+        cost, w = heapq.heappop(todo)
+        if w in done:
+            continue
+        done[w] = cost
+        for a, b, c in rules:
+            if cost + c > most:
+                continue
+            at = w.find(a)
+            while at >= 0:
+                heapq.heappush(todo, (cost + c, w[:at] + b + w[at + len(a) :]))
+                at = w.find(a, at + 1) if a else (at + 1 if at < len(w) else -1)
+    return sorted(done.items(), key=lambda x: (x[1], x[0]))
+
+
+def approximate(words: DataFrame, word: str, rules: list[tuple[str, str, int]], most: int) -> DataFrame:
+    """(word, distance) of vocabulary words that the rules make of one, up to a cost: a hash join of what they make with the vocabulary."""
+    made = words.sparkSession.createDataFrame(fuzzed(word, rules, most), "word string, distance int")
+    return words.select("word").join(made, "word")

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What has another value at another time.
+_UNSTEADY = re.compile(r"\b(?:now|current_date|current_timestamp|current_time|rand|randn|random|uuid|unix_timestamp)\s*\(|'now'|\bcurrent_(?:date|time|timestamp)\b", re.I)
+
+
 @dataclass(frozen=True)
 class Table:
     rows: DataFrame
@@ -51,6 +55,9 @@ class Store:
     def create(self, name: str, rows: DataFrame, **options) -> Store:
         """CREATE TABLE with rows (CTAS) and its options; generated columns are computed from the others."""
         t = Table(rows, **options)
+        for e in [*t.generated.values(), *t.checks.values()]:
+            if m := _UNSTEADY.search(re.sub(r"'(?:[^']|'')*'", lambda q: q[0] if q[0].lower() == "'now'" else "''", e)):
+                raise ConstraintError(f"non-deterministic use of {m[0]} in a CHECK constraint or generated column")
         return self._put(name, changed(t, rows=_generate(rows, t.generated)))
 
     def _put(self, name: str, t: Table) -> Store:

@@ -601,3 +601,80 @@ def concat_changesets(spark: SparkSession, d: str) -> DataFrame:
     a, b, e = o.where("o_orderkey % 11 <> 0"), o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 <> 0")
     return changes.concat(changes.diff(a, b, ["o_orderkey"]), changes.diff(b, e, ["o_orderkey"]), ["o_orderkey"]).select("op", "o_orderkey")
 
+
+# --- further search, text and change operators ---------------------------------------------
+
+_COSTS = {("a", "e"): 40, ("ph", "f"): 20, ("", "h"): 10}
+pinned("str_editdist3", "a string, b string", [("phone", "fone"), ("cat", "cet"), ("cat", "chat"), ("", "x"), (None, "x")], {"d": ("INTEGER", lambda: strings.edit_distance3("a", "b", _COSTS))}, [(20,), (40,), (10,), (100,), (None,)])
+pinned("str_transliterate", "s string", [("Ελλάδα",), ("Москва",), ("Straße é",), ("漢",)], {"t": ("VARCHAR", lambda: strings.transliterate(c("s"))), "k": ("INTEGER", lambda: strings.script_code(c("s")))}, [("Ellada", 200), ("Moskva", 220), ("Strasse e", 215), ("?", 999)])
+pinned("str_utf8_case", "s string", [("straße ÉTÉ",), ("ab Cd",)], {"t": ("VARCHAR", lambda: strings.title_case(c("s"))), "f": ("VARCHAR", lambda: strings.casefold(c("s"))), "v": ("BOOLEAN", lambda: F.is_valid_utf8("s")), "n": ("INTEGER", lambda: F.octet_length("s"))}, [("Straße Été", "strasse été", True, 13), ("Ab Cd", "ab cd", True, 5)])
+sql("date_parts", "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, dayofyear(ts) AS dy, quarter(ts) AS q, date_trunc('hour', ts) AS tr FROM {events}", "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS mi, CAST(dayofyear(ts) AS INTEGER) AS dy, CAST(quarter(ts) AS INTEGER) AS q, date_trunc('hour', ts) AS tr FROM events")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json(props) AS VARCHAR) AS t FROM events")
+def json_binary(spark: SparkSession, d: str) -> DataFrame:
+    v = jsons.jsonb(c("props"))
+    return read(spark, d, "events").select("event_id", F.variant_get(jsons.jsonb_extract(v, "$.k"), "$", "bigint").alias("k"), jsons.jsonb_text(v).alias("t"))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, unnest({_WORDS}) AS word FROM documents), h AS (SELECT id, word, count(*) AS hits FROM t WHERE word IN ('from', 'when') GROUP BY ALL)
+SELECT id, word, CAST(hits AS INTEGER) AS hits, CAST(sum(hits) OVER (PARTITION BY word) AS BIGINT) AS hits_all, count(*) OVER (PARTITION BY word) AS rows_all FROM h""")
+def fts_matchinfo(spark: SparkSession, d: str) -> DataFrame:
+    return search.match_info(read(spark, d, "documents"), "doc_id", "text", ["from", "when"])
+
+
+@query(f"SELECT item_id AS id FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE list_contains(w, 'the') AND list_contains(w, 'of')")
+def fts_contentless(spark: SparkSession, d: str) -> DataFrame:
+    """An index without the texts: terms and places, written by term, then searched alone."""
+    to = f"{_folder(spark)}/index"
+    sinks.sorted_by(search.tokens(read(spark, d, "benchmark"), "item_id", "text"), "term", to)
+    return search.with_all(spark.read.parquet(to), ["the", "of"])
+
+
+@query("SELECT * FROM (VALUES ('NATION_10', 60), ('NATION_1', 20)) AS t(word, distance)")
+def fts_fuzzer(spark: SparkSession, d: str) -> DataFrame:
+    words = read(spark, d, "nation").select(c("n_name").alias("word"))
+    return search.approximate(words, "NASION_1", [("S", "T", 20), ("_1", "_10", 40), ("A", "E", 5)], 60)
+
+
+@query("""WITH k AS (SELECT event_id AS key, event_type AS cid, event_id % 3 + 1 AS col_version, event_id AS db_version, user_id % 3 AS site FROM events WHERE event_type <> 'error'
+UNION ALL SELECT event_id, '-1', 2 * (event_id % 2) + 1, event_id, user_id % 3 FROM events WHERE event_type = 'view' OR event_type = 'click')
+SELECT 'events' AS tbl, 'p' || k.key AS pk, cid, col_version, db_version, CASE WHEN site = 0 THEN NULL ELSE 's' || site END AS site_id, CAST(0 AS INTEGER) AS seq, coalesce(s.cl, 1) AS cl
+FROM k LEFT JOIN (SELECT key, col_version AS cl FROM k WHERE cid = '-1') AS s ON k.key = s.key""")
+def crdt_change_feed(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumn("site", c("user_id") % 3)
+    cells = e.where("event_type <> 'error'").select(c("event_id").alias("key"), c("event_type").alias("cid"), (c("event_id") % 3 + 1).alias("col_version"), c("event_id").alias("db_version"), "site", F.lit(0).alias("seq"))
+    marks = e.where("event_type IN ('view', 'click')").select(c("event_id").alias("key"), F.lit("-1").alias("cid"), (2 * (c("event_id") % 2) + 1).alias("col_version"), c("event_id").alias("db_version"), "site", F.lit(0).alias("seq"))
+    pks = e.select(c("event_id").alias("key"), F.concat(F.lit("p"), "event_id").alias("pk"))
+    sites = spark.createDataFrame([(1, "s1"), (2, "s2")], "site bigint, site_id string")
+    return changes.feed(cells.unionByName(marks), pks, sites, "events")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id < 700")
+def stream_verified_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log with a wrong checksum at 800 and a record missing at 700."""
+    e = read(spark, d, "events").where("event_id <> 700")
+    crc = F.crc32(c("event_type").cast("binary"))
+    log = e.select("event_id", "event_type", F.when(c("event_id") == 800, crc + 1).otherwise(crc).alias("crc"))
+    return changelog.verified(log, "event_id", "event_type", "crc").select("event_id", "event_type")
+
+
+@query("(SELECT 'page' AS what, event_id FROM events WHERE event_id > 40 ORDER BY event_id LIMIT 5) UNION ALL SELECT 'left', event_id FROM events WHERE event_id > 90 UNION ALL SELECT 'oldest', CAST(-1 AS BIGINT) UNION ALL SELECT 'latest', max(event_id) FROM events")
+def stream_subscription(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("event_id")
+    acks = spark.createDataFrame([("a", 40), ("a", 120), ("b", 90)], "who string, event_id bigint")
+    starts = spark.createDataFrame([(s, changelog.start_of(e, "event_id", s)) for s in ("oldest", "latest")], "what string, event_id bigint")
+    first = changelog.page(e, "event_id", changelog.start_of(e, "event_id", 41), 5).select(F.lit("page").alias("what"), "event_id")
+    return first.unionByName(changelog.pruned(e, acks, "who", "event_id").select(F.lit("left").alias("what"), "event_id")).unionByName(starts)
+
+
+@query("SELECT * FROM (VALUES ('now in check', true), ('random in generated', true), ('quoted', false)) AS t(what, refused)")
+def ddl_deterministic(spark: SparkSession, d: str) -> DataFrame:
+    n, out = read(spark, d, "nation"), []
+    for what, options in (("now in check", {"checks": {"x": "n_nationkey < unix_seconds(now())"}}), ("random in generated", {"generated": {"g": "rand()"}}), ("quoted", {"checks": {"x": "n_name <> 'rand()'"}})):
+        try:
+            tables.Store().create("t", n, **options)
+            out.append((what, False))
+        except tables.ConstraintError:
+            out.append((what, True))
+    return spark.createDataFrame(out, "what string, refused boolean")
