@@ -608,7 +608,7 @@ _COSTS = {("a", "e"): 40, ("ph", "f"): 20, ("", "h"): 10}
 pinned("str_editdist3", "a string, b string", [("phone", "fone"), ("cat", "cet"), ("cat", "chat"), ("", "x"), (None, "x")], {"d": ("INTEGER", lambda: strings.edit_distance3("a", "b", _COSTS))}, [(20,), (40,), (10,), (100,), (None,)])
 pinned("str_transliterate", "s string", [("Ελλάδα",), ("Москва",), ("Straße é",), ("漢",)], {"t": ("VARCHAR", lambda: strings.transliterate(c("s"))), "k": ("INTEGER", lambda: strings.script_code(c("s")))}, [("Ellada", 200), ("Moskva", 220), ("Strasse e", 215), ("?", 999)])
 pinned("str_utf8_case", "s string", [("straße ÉTÉ",), ("ab Cd",)], {"t": ("VARCHAR", lambda: strings.title_case(c("s"))), "f": ("VARCHAR", lambda: strings.casefold(c("s"))), "v": ("BOOLEAN", lambda: F.is_valid_utf8("s")), "n": ("INTEGER", lambda: F.octet_length("s"))}, [("Straße Été", "strasse été", True, 13), ("Ab Cd", "ab cd", True, 5)])
-sql("date_parts", "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, dayofyear(ts) AS dy, quarter(ts) AS q, date_trunc('hour', ts) AS tr FROM {events}", "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS mi, CAST(dayofyear(ts) AS INTEGER) AS dy, CAST(quarter(ts) AS INTEGER) AS q, date_trunc('hour', ts) AS tr FROM events")
+sql("date_parts", "SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, dayofyear(ts) AS dy, quarter(ts) AS q, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS tr FROM {events}", "SELECT event_id, CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(day(ts) AS INTEGER) AS d, CAST(hour(ts) AS INTEGER) AS h, CAST(minute(ts) AS INTEGER) AS mi, CAST(dayofyear(ts) AS INTEGER) AS dy, CAST(quarter(ts) AS INTEGER) AS q, date_trunc('hour', ts) AS tr FROM events")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json(props) AS VARCHAR) AS t FROM events")
