@@ -195,3 +195,22 @@ def test_benchmark_stage(spark):
             assert got[k] == t
         else:
             assert words(got[k]) == [x for i, x in enumerate(w) if i not in gone]
+
+
+def test_quality_and_packing_stages(spark):
+    """The quality stage keeps the rows that the query judges to be kept, as they are; the packing stage loses no token of its documents."""
+    import corpus_pipeline
+
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    good = {r["doc_id"] for r in queries.op10_quality_perplexity(spark, small).where("keep").collect()}
+    kept = corpus_pipeline.quality(spark, docs, small).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(good)
+    assert {r["doc_id"]: r.asDict() for r in kept} == {r["doc_id"]: r.asDict() for r in docs.select(*corpus_pipeline.COLUMNS).collect() if r["doc_id"] in good}
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    total = Counter()
+    for r in corpus_pipeline.packed(spark, docs, small).collect():
+        total[r["doc_id"]] += r["length"]
+    assert total == {r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
