@@ -33,3 +33,25 @@ def sum_excluding(partition: list[str], order: str, x: str, what: str) -> Column
 def filtered(agg, x: Column, condition: Column, window) -> Column:
     """agg(x) FILTER (WHERE condition) OVER window."""
     return agg(F.when(condition, x)).over(window)
+
+
+def rows_excluding(df: DataFrame, partition: list[str], order: list[str], tie: list[str], lo: int, hi: int, x: str, what: str, fold, out: str) -> DataFrame:
+    """An aggregate over ROWS BETWEEN lo AND hi (negative for preceding) with EXCLUDE what: no others, current row, group, ties.
+
+    Rows of equal ``order`` are peers, which ``tie`` puts in a row. ``fold`` makes the value of the array of what is left; a frame's rows, a bounded
+    number, come together in an array beside each row.
+    """
+    if lo > hi:
+        raise ValueError("a frame may not end before it begins")
+    whole = Window.partitionBy(*partition).orderBy(*order, *tie)
+    numbered = df.withColumn("_n", F.row_number().over(whole)).withColumn("_g", F.struct(*order))
+    frame = F.collect_list(F.struct("_n", "_g", F.col(x).alias("x"))).over(whole.rowsBetween(lo, hi))
+    own, peer = (lambda r: r["_n"] == F.col("_n")), (lambda r: r["_g"] == F.col("_g"))
+    keep = {
+        "no others": lambda r: F.lit(True),
+        "current row": lambda r: ~own(r),
+        "group": lambda r: ~peer(r),
+        "ties": lambda r: own(r) | ~peer(r),
+    }[what]
+    left = F.transform(F.filter(F.col("_f"), keep), lambda r: r["x"])
+    return numbered.withColumn("_f", frame).withColumn(out, fold(left)).drop("_n", "_g", "_f")

@@ -81,6 +81,16 @@ sql("agg_concat_desc", "SELECT n_regionkey, listagg(n_name, '|') WITHIN GROUP (O
 sql("win_range_text", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_type) AS n, sum(p_size) OVER (PARTITION BY p_brand, p_type) AS s FROM {part}", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_type) AS n, CAST(sum(p_size) OVER (PARTITION BY p_brand, p_type) AS BIGINT) AS s FROM part")
 
 
+@query("SELECT p_partkey, " + ", ".join(f"CAST(sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE {w}) AS BIGINT) AS {n}" for w, n in (("CURRENT ROW", "c"), ("GROUP", "g"), ("TIES", "t"))) + " FROM (SELECT DISTINCT ON (p_brand, p_size) * FROM part ORDER BY p_brand, p_size, p_partkey)")
+def win_exclude_rows(spark: SparkSession, d: str) -> DataFrame:
+    first = Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")
+    p = read(spark, d, "part").withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+    total = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x))
+    for what, name in (("current row", "c"), ("group", "g"), ("ties", "t")):
+        p = windows.rows_excluding(p, ["p_brand"], ["p_size"], ["p_partkey"], -3, 2, "p_partkey", what, total, name)
+    return p.select("p_partkey", "c", "g", "t")
+
+
 @query("SELECT * FROM (VALUES ('aaa', 'aaa/aaa'), ('bbb', 'bbb/bbb')) AS t(a, joined)")
 def subq_correlated_aggregate(spark: SparkSession, d: str) -> DataFrame:
     outer, inner = spark.createDataFrame([("aaa",), ("bbb",)], "a string"), spark.createDataFrame([("/",), ("-",)], "d string")

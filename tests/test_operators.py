@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenql.functions import jsontext, numbers, strings
-from lumenql.operators import changes, relational, search, tables
+from lumenql.operators import changes, relational, search, tables, windows
 from lumenql.streaming import changelog
 
 
@@ -125,3 +125,21 @@ def test_rounding_is_on_decimal_text(spark):
     got = spark.createDataFrame([(float(x), n) for x, n in rows], "x double, n int").select("x", "n", numbers.round_half_away(F.col("x"), F.col("n")).alias("r")).collect()
     for row in got:
         assert row["r"] == float(Decimal(repr(row["x"])).quantize(Decimal(1).scaleb(-row["n"]), ROUND_HALF_UP)), row
+
+
+@pytest.mark.parametrize("what", ["no others", "current row", "group", "ties"])
+def test_rows_frame_with_exclusion(spark, what):
+    r = random.Random(8)
+    rows = [(i, r.choice("ab"), r.randrange(4), r.randrange(100)) for i in range(60)]
+    got = windows.rows_excluding(spark.createDataFrame(rows, "i int, p string, o int, x int"), ["p"], ["o"], ["i"], -2, 3, "x", what, lambda a: F.array_join(F.array_sort(a), ","), "got")
+    got = {x["i"]: x["got"] for x in got.collect()}
+    for part in "ab":
+        mine = sorted((x for x in rows if x[1] == part), key=lambda x: (x[2], x[0]))
+        for at, row in enumerate(mine):
+            left = []
+            for k in range(max(0, at - 2), min(len(mine), at + 4)):
+                peer = mine[k][2] == row[2]
+                out = {"no others": False, "current row": k == at, "group": peer, "ties": peer and k != at}[what]
+                if not out:
+                    left.append(mine[k][3])
+            assert got[row[0]] == ",".join(map(str, sorted(left)))
