@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 WINDOW, SPAN = 51, 16
 #: Bytes of texts that are read together, and words whose shingles are hashed at a time.
-CHUNK, STEP = 1 << 18, 1 << 17
+CHUNK, STEP = 1 << 16, 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
@@ -45,7 +45,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if base not in _powers or len(_powers[base][0]) < n:
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(2 * n, b, np.uint64)
+            p = np.full(1 << (n - 1).bit_length(), b, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         _powers[base] = (out[0], out[1])
@@ -217,7 +217,7 @@ def _read(docs: DataFrame, min_words: int, window: int, span: int, whole: bool =
     their hashes, places, words and bands. With ``whole`` no anchors, and the text is the only line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim({})
+        claim(_powers)
         for b in batches:
             for first, texts in _chunks(b.column(2)):
                 words, ends, breaks = tokenise(texts)
@@ -252,7 +252,7 @@ def _again(docs: DataFrame, min_words: int, window: int, span: int, whole: bool
     sets = pa.struct([("line", pa.int64()), ("set", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim({})
+        claim(_powers)
         for b in batches:
             for first, texts in _chunks(b.column(2)):
                 anchors, wanted = (b.column(k).slice(first, len(texts)) for k in (3, 4))
