@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a file in a compacted copy.
 FILE_BYTES = 256 << 20
@@ -82,7 +83,6 @@ def zipped(entries: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-@F.arrow_udf("binary")
 def _compress(b: pa.Array) -> pa.Array:
     out = []
     for x in b:
@@ -92,7 +92,6 @@ def _compress(b: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf("binary")
 def _uncompress(b: pa.Array) -> pa.Array:
     out = []
     for x in b:
@@ -106,9 +105,9 @@ def _uncompress(b: pa.Array) -> pa.Array:
 
 def compress(b: Column) -> Column:
     """Archive form of a blob: deflated, unless that isn't smaller."""
-    return _compress(b)
+    return F.arrow_udf(_compress, T.BinaryType())(b)
 
 
 def uncompress(b: Column) -> Column:
     """Blobs that aren't compressed come back as they are."""
-    return _uncompress(b)
+    return F.arrow_udf(_uncompress, T.BinaryType())(b)

@@ -79,3 +79,15 @@ def test_overlap_of_all_boxes(spark, tmp_path):
     boxes = catalogue._boxes(spark, str(tmp_path), "IS NOT NULL").collect()
     want = sorted((a["id"], b["id"]) for a in boxes for b in boxes if a["id"] < b["id"] and a["x0"] <= b["x1"] and b["x0"] <= a["x1"] and a["y0"] <= b["y1"] and b["y0"] <= a["y1"])
     assert want and sorted(map(tuple, catalogue.QUERIES["rtree_overlap_all"](spark, str(tmp_path)).collect())) == want
+
+
+def test_entry_imports_without_a_session():
+    """The driver imports the entry before it starts Spark."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    n, with_sql = map(int, said.stdout.split()[-2:])
+    assert n >= with_sql > 200
