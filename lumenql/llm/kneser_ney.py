@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,16 +170,16 @@ class Table:
 
 
 class Scorer:
-    def __init__(self, grams: list[str], logp: np.ndarray, backoff: np.ndarray, order: int) -> None:
+    def __init__(self, grams: pa.StringArray, logp: np.ndarray, backoff: np.ndarray, order: int) -> None:
         self.order = order
-        by = np.array(list(map(len, grams)))
+        by = pc.utf8_length(grams).to_numpy(zero_copy_only=False)
         self.probs, self.weights = {}, {}
         for k in range(0, order + 1):
             for into, of in ((self.probs, logp), (self.weights, backoff)):
                 at = np.flatnonzero((by == k) & ~np.isnan(of))
                 if k == 0:
                     continue
-                codes = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
+                codes = _codes(grams.take(pa.array(at)))
                 into[k] = Table(_keys(codes, k)[::k] if len(at) else np.zeros(0, np.uint64), of[at])
         root = np.flatnonzero((by == 0) & ~np.isnan(backoff))
         self.floor = float((backoff[root[0]] if len(root) else 0.0) - np.log(ALPHABET))
@@ -225,9 +226,20 @@ def _keys_at(codes: np.ndarray, order: int, at: np.ndarray) -> np.ndarray:
     return h
 
 
+def _codes(grams: pa.StringArray) -> np.ndarray:
+    """The code points of all grams in a row, from the array's own bytes."""
+    _, ends, data = grams.buffers()
+    if not len(grams) or data is None:
+        return np.zeros(0, np.uint32)
+    at = np.frombuffer(ends, np.int32)[grams.offset : grams.offset + len(grams) + 1]
+    return np.frombuffer(data.to_pybytes()[at[0] : at[-1]].decode("utf-8").encode("utf-32-le"), np.uint32)
+
+
 def load(model: DataFrame, order: int = ORDER) -> Scorer:
-    rows = model.toArrow()
-    return Scorer(rows["gram"].to_pylist(), rows["logp"].to_numpy(), rows["backoff"].to_numpy(), order)
+    """The model's tables, made from Arrow columns without an object for each gram."""
+    rows = model.select(F.col("gram").cast("string").alias("gram"), "logp", "backoff").toArrow()
+    grams = pa.concat_arrays([c.cast(pa.string()) for c in rows["gram"].chunks]) if rows.num_rows else pa.array([], pa.string())
+    return Scorer(grams, rows["logp"].to_numpy(), rows["backoff"].to_numpy(), order)
 
 
 def worst(diff: np.ndarray, window: int = TOXIC_WINDOW) -> float:
@@ -244,6 +256,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
     if model.count() + (toxic.count() if toxic is not None else 0) > most:
         return _score_sharded(docs, model, order, keep_text, toxic)
     shared = docs.sparkSession.sparkContext.broadcast((load(model, order), load(toxic, order) if toxic is not None else None))
+    release()  # what loading took goes back to the system
     names = docs.columns
     at = names.index("text")
     keep = [i for i in range(len(names)) if keep_text or i != at]
@@ -287,7 +300,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, most: int = BRO
                 else:
                     group.append(t)
                     size += len(t)
-                    if size > 1 << 18:
+                    if size > 1 << 17:
                         flush()
                         size = 0
             flush()
