@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (five-word shingles 0.8 alike) stays, that of the smallest doc_id."""
+    """One document of each near-duplicate class (SimHash classes and bands, five-word shingles 0.8 alike) stays, that of the smallest doc_id."""
     return paragraph_dedup.deduplicate(docs.select(*COLUMNS))
 
 

@@ -1,8 +1,8 @@
 """Substring dedup: near-equal paragraphs by MinHash banding, and passages that repeat at any place.
 
 One pass over the distinct texts reads their words and leaves two kinds of signatures. Lines of MIN_WORDS words or
-more get a MinHash signature of BANDS bands of ROWS rows over shingles of five words: lines that collide in a band are joined with the
-band's first, those unlike it with all others of the band, exact Jaccard similarity is verified, and classes of
+more get a MinHash signature of BANDS bands of ROWS rows over shingles of five words: lines that collide in a band are joined with the one of
+them that meets most others, those that this leaves apart with all others of the band, exact Jaccard similarity is verified, and classes of
 linked lines are the components. And, as passages are also spliced into the middle of other lines, where no whole line is
 alike, every run of WINDOW words is a sliding paragraph with a one-row signature, the least hash of its shingles of SPAN
 words; of those that collide in it all words are compared, by one hash of the whole run, and equal runs are a class.
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .common import claim, cut, join_split, maybe_in, null_safe_key, release, small_batches
 from .components import connected_components
+from .simhash import near_edges, simhash64
 
 MIN_WORDS = 51
 SHINGLE = 5
@@ -214,7 +215,8 @@ _LINE = pa.struct([("line", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
 
 def _read(docs: DataFrame, min_words: int, window: int, span: int, whole: bool = False) -> DataFrame:
     """(who, key, anchors, lines) of each text: the signatures of its sliding paragraphs, one for each run of equal ones, and its lines with
-    their hashes, places, words and bands. With ``whole`` no anchors, and the text is the only line."""
+    their hashes, places, words and bands. With ``whole`` no anchors, the text is the only line, and fp is its SimHash fingerprint."""
+    more = ["fp"] if whole else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_powers)
@@ -237,11 +239,12 @@ def _read(docs: DataFrame, min_words: int, window: int, span: int, whole: bool =
                     fields=list(_LINE),
                 )
                 lines = pa.ListArray.from_arrays(_by_text(len(texts), who), each)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), b.column(1).slice(first, len(texts)), anchors, lines], ["who", "key", "anchors", "lines"])
+                fps = [_signed([simhash64(t) for t in texts])] if whole else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), b.column(1).slice(first, len(texts)), anchors, lines, *fps], ["who", "key", "anchors", "lines", *more])
         release()
 
     return docs.select("_who", "_key", "text").mapInArrow(
-        run, "who long, key long, anchors array<long>, lines array<struct<line: long, at: int, n: int, bands: array<long>>>"
+        run, ", ".join(["who long, key long, anchors array<long>, lines array<struct<line: long, at: int, n: int, bands: array<long>>>", *(f"{c} long" for c in more)])
     )
 
 
@@ -332,20 +335,21 @@ def _links(alike: np.ndarray, sets: list[np.ndarray], similarity: float) -> list
     return out
 
 
-def _settled(left: DataFrame, unlike: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(line, rep): links between the lines of each band that has lines unlike its least, exactly.
+def _settled(left: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(line, rep): further links between the lines of each band that ``roots`` (node, root) doesn't hold as one class, exactly.
 
-    Those are compared with each other and with all others of the band, which their least links. Bands are split into blocks
-    of about BLOCK lines by a hash, and every block of unlike lines meets every block, so no task holds a whole band.
+    In a band, the lines of its largest class are linked already; all others are compared with each other and with those. Bands are split into
+    blocks of about BLOCK lines by a hash, and every block of other lines meets every block, so no task holds a whole band.
     """
-    open_ = unlike.groupBy("band").agg(F.count("*").alias("n_unlike"))
-    of = cut(left.groupBy("band").agg(F.count("*").alias("n")).join(open_, "band").where("n > 2"))
-    rows = join_split(left, of, "band").join(unlike.withColumn("unlike", F.lit(True)), ["band", "line"], "left")
-    rows = rows.withColumn("alike", F.col("unlike").isNull())
+    at = left.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").select("band", "line", F.coalesce("root", "line").alias("root"))
+    at = cut(at)
+    held = at.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("s"))
+    of = cut(held.where("n > s.k and n > 2").select("band", "n", (F.col("n") - F.col("s.k")).alias("n_unlike"), F.col("s.root").alias("main")))
+    rows = join_split(at, of, "band").withColumn("alike", F.col("root") == F.col("main"))
     first = F.ceil(F.col("n_unlike") / BLOCK)
     every = first + F.ceil((F.col("n") - F.col("n_unlike")) / BLOCK)
-    at = F.xxhash64("line")
-    rows = rows.withColumn("block", F.when(F.col("alike"), first + F.pmod(at, every - first)).otherwise(F.pmod(at, first)))
+    spot = F.xxhash64("line")
+    rows = rows.withColumn("block", F.when(F.col("alike"), first + F.pmod(spot, every - first)).otherwise(F.pmod(spot, first)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("alike"), first).otherwise(every) - 1)))
     rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "line", "alike").join(sets, "line")
 
@@ -358,11 +362,31 @@ def _settled(left: DataFrame, unlike: DataFrame, sets: DataFrame, similarity: fl
     return rows.select("band", "i", "j", "line", "alike", "set").groupBy("band", "i", "j").applyInArrow(link, "line long, rep long")
 
 
-def _colliding(lines: DataFrame) -> DataFrame:
-    """(band, line, rep) of the bands in which several lines meet, rep being the least of them; from lines with their bands."""
-    rows = lines.select(F.explode("bands").alias("band"), "line").distinct()
-    shared = cut(rows.groupBy("band").agg(F.min("line").alias("rep"), F.max("line").alias("high"), F.count("*").alias("n")).where("rep <> high").drop("high"))
-    return cut(join_split(rows, shared, "band").select("band", "line", "rep"))
+def _colliding(rows: DataFrame) -> DataFrame:
+    """(band, line, rep) of the bands in which several lines meet, from different rows (band, line). rep is the line that has met most others in all of its
+    bands, which of near copies of one text is the nearest to all."""
+    shared = cut(rows.groupBy("band").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "n"))
+    met = cut(join_split(rows, shared, "band"))
+    met = met.join(met.groupBy("line").agg(F.sum("n").alias("others")), "line")
+    first = cut(met.groupBy("band").agg(F.max(F.struct("others", F.negative("line"), "line"))["line"].alias("rep"), F.count("*").alias("n")))
+    return cut(join_split(met.select("band", "line"), first, "band").select("band", "line", "rep"))
+
+
+def _banded(lines: DataFrame) -> DataFrame:
+    return lines.select(F.explode("bands").alias("band"), "line").distinct()
+
+
+#: Bits in which SimHash fingerprints of whole texts that are compared may differ.
+RADIUS = 2
+
+
+def _simhash_classes(read: DataFrame) -> DataFrame:
+    """(band, line): the classes of texts whose SimHash fingerprints link, by vantage-point shards, in the form of bands. From (line, fp)."""
+    rows = cut(read.select("line", "fp").distinct())
+    fps = cut(rows.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = connected_components(near_edges(fps.select("fp"), RADIUS), "a", "b")
+    named = cut(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")))
+    return join_split(rows, named, "fp").select(F.xxhash64(F.lit("simhash"), "root").alias("band"), "line")
 
 
 def _alike(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -384,9 +408,11 @@ def _alike(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     pairs = join_split(pairs, many, "rep").withColumn("copy", F.pmod(F.xxhash64("line"), "copies"))
     reps = many.join(sets.withColumnsRenamed({"line": "rep", "set": "rep_set"}), "rep").select("rep", "rep_set", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     scored = cut(pairs.join(sets, "line").join(reps, ["rep", "copy"]).select("line", "rep", jaccard("set", "rep_set").alias("j")))
-    unlike = cut(met.join(scored.where(F.col("j") < similarity).select("line", "rep"), ["line", "rep"]).select("band", "line"))
-    edges = scored.where(F.col("j") >= similarity).select("line", "rep").unionByName(_settled(left.select("band", "line"), unlike, sets, similarity))
-    return connected_components(edges, "line", "rep").select(F.col("node").alias("line"), "root")
+    roots = connected_components(scored.where(F.col("j") >= similarity), "line", "rep")
+    more = cut(_settled(left.select("band", "line"), roots, sets, similarity))
+    if not more.isEmpty():
+        roots = connected_components(more.unionByName(roots.select(F.col("node").alias("line"), F.col("root").alias("rep"))), "line", "rep")
+    return roots.select(F.col("node").alias("line"), "root")
 
 
 #: Lines that are compared with one copy of their band's first.
@@ -400,13 +426,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, whole: bool = False) -> DataFrame:
     """(line, root): components of lines whose shingle sets are alike, beside each one alone; of whole texts where ``whole`` is set.
 
-    In a band, every line is compared with the band's least. Where some are not alike enough, they are compared with all lines of the band, in
-    blocks, so that each pair that meets in a band and is alike is linked. A band whose lines are all like its least costs one comparison for each.
+    In a band, every line is compared with one of the band. Where that leaves several classes, the lines outside the largest are compared with all lines of the
+    band, in blocks, so that each pair that meets in a band and is alike is linked. A band whose lines are of one class costs one comparison for each.
     """
     given = _keyed(docs).select("_who", "_key", "text")
     first = cut(_read(given, min_words, WINDOW, SPAN, whole=True) if whole else _read(given, min_words, WINDOW, SPAN))
     lines = first.select("who", "key", F.explode("lines").alias("l")).select("who", "key", "l.*")
-    left = _colliding(lines)
+    left = _colliding(_banded(lines))
     return _alike(left, _sets(given, lines, left, min_words, whole), similarity)
 
 
@@ -454,7 +480,7 @@ def repeated_spans(keyed: DataFrame, min_words: int = MIN_WORDS, window: int = W
     by_anchor = join_split(anchors, dup, "anchor").groupBy("who", "key").agg(F.collect_set("anchor").alias("anchors"))
 
     lines = first.select("who", "key", F.explode("lines").alias("l")).select("who", "key", "l.*")
-    left = _colliding(lines)
+    left = _colliding(_banded(lines))
     wanted = by_anchor.join(_holders(lines, left), ["who", "key"], "full").select(
         "who", "key", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("anchors", "lines")]
     )
@@ -564,8 +590,9 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class of near copies: that of the smallest doc_id (nulls count as the largest), among rows of one
     id the text of smallest hash. All columns stay, whatever their names.
 
-    Texts are linked whose shingles of SHINGLE words are ``similarity`` alike, by exact comparison of those that meet in a band, and texts of equal
-    words; a class is what links reach. Texts without words, null ones too, are equal. An empty table gives no rows.
+    Texts are linked whose shingles of SHINGLE words are ``similarity`` alike, by exact comparison of those that meet, and texts of equal
+    words; a class is what links reach. Texts meet in a class of SimHash fingerprints (three words, RADIUS bits; the pivots of query 6) and, as
+    fingerprints of texts less alike are further apart than pivots can tell, in a band of MinHash too. Texts without words, null ones too, are equal. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     packed = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
@@ -574,8 +601,8 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs, many = _copies(given)
     copies = cut(join_split(pairs, many, "key").where("who > rep").select("who", "key"))
     texts = _distinct_texts(given, copies)
-    read = cut(_read(texts, 0, WINDOW, SPAN, whole=True).select("who", "key", F.explode("lines").alias("l")).select("who", "key", "l.*"))
-    left = _colliding(read)
+    read = cut(_read(texts, 0, WINDOW, SPAN, whole=True).select("who", "key", "fp", F.explode("lines").alias("l")).select("who", "key", "fp", "l.*"))
+    left = _colliding(_banded(read).unionByName(_simhash_classes(read)))
     roots = _alike(left, _sets(texts, read, left, 0, True), similarity)
     each = cut(read.groupBy("line").agg(F.min(F.struct("who", "key")).alias("s"), F.count("*").alias("n")).join(roots, "line", "left").withColumn("root", F.coalesce("root", "line")))
     top = each.groupBy("root").agg(F.min("s").alias("best"), F.sum("n").alias("n"))

@@ -18,11 +18,11 @@ SAMPLE_PER_SHARD, SAMPLE = 48, 1_000_000
 LEAF = 192
 
 
-def simhash64(text: str | None, shingle: int = 3) -> int:
-    """Fingerprint of one text; 0 where it has no word."""
+def simhash64(text: str | bytes | None, shingle: int = 3) -> int:
+    """Fingerprint of one text, or of its UTF-8; 0 where it has no word."""
     if not text:
         return 0
-    words = text.encode("utf-8").lower().split()  # of bytes: A-Z only, and ASCII white space only
+    words = (text if isinstance(text, bytes) else text.encode("utf-8")).lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
         return 0
     if len(words) <= shingle:

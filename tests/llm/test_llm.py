@@ -439,6 +439,22 @@ def test_pipeline_near_copies(spark):
     assert got == sorted(least.values()) and len(got) < len(rows) - 20
 
 
+def test_pipeline_near_copies_by_simhash(spark, monkeypatch):
+    """Without any band the stage still meets near copies by their SimHash classes; texts that these hold, but are unlike, stay."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    long = [f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(3000)]
+    rows = [(0, " ".join(long)), (1, " ".join([*long[:700], "other", *long[701:]])), (2, " ".join(long).upper())]
+    rows += [(10 + k, "spam " * 300 + " ".join(f"{k}x{i}" for i in range(60))) for k in range(3)]
+    rows += [(20, " ".join(r.choice(WORDS) for _ in range(200))), (21, None)]
+    fps = {k: simhash.simhash64(t) for k, t in rows}
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and fps[10] == fps[11] == fps[12]
+    monkeypatch.setattr(paragraph_dedup, "_banded", lambda lines: lines.select(F.lit(0).cast("long").alias("band"), "line").limit(0))
+    given = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, given, "").collect()) == [0, 10, 11, 12, 20, 21]
+
+
 def kept_words(rows, window=51, least=51, similarity=0.8):
     """Brute force: for each (id, text) the words that stay, by the docstring of substring_dedup."""
     ids = [1 << 62 if k is None else k for k, _ in rows]
