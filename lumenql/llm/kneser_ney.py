@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, cut, join_split, release, small_batches
+from .common import claim, cut, join_split, release, small_batches, swept
 
 ORDER = 5
 #: Trusted ids and model rows are broadcast up to these many; beyond, both become shuffled joins.
@@ -89,7 +89,7 @@ def _keys(codes: np.ndarray, order: int) -> np.ndarray:
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    n = {r["n"]: r["k"] for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    n = {r["n"]: r["k"] for r in swept(counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k"))).collect()}
     n1, n2, n3, n4 = (float(n.get(i, 0)) for i in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d = [min(i, max(0.0, i - (i + 1) * y * b / a)) if a and b else i * 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]

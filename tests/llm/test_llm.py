@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with every awkward row."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -455,6 +456,25 @@ def test_pipeline_near_copies_by_simhash(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, given, "").collect()) == [0, 10, 11, 12, 20, 21]
 
 
+def test_cuts_leave_no_shuffle_files(spark):
+    """What a checkpoint and a component run shuffled is gone from the disk at their end, also while the frames are held."""
+    from lumenql.llm.common import SWEEP, cut
+
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {x for d in dirs for _, _, names in os.walk(d) for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+
+    before, conf = files(), spark.conf.get(SWEEP, None)
+    held = spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.sum("id").alias("n"))
+    got = cut(held)
+    roots = components.connected_components(got.select("k", (F.col("k") % 7).alias("m")), "k", "m")
+    end = time.time() + 20  # files go in the background
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(SWEEP, None) == conf
+    assert got.count() == 5_000 and roots.count() == 4_993
+
+
 def kept_words(rows, window=51, least=51, similarity=0.8):
     """Brute force: for each (id, text) the words that stay, by the docstring of substring_dedup."""
     ids = [1 << 62 if k is None else k for k, _ in rows]
