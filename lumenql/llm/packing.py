@@ -79,13 +79,22 @@ def token_bytes(text: str | None, path: str) -> bytes:
     return b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
+def _remembered(path: str, most: int) -> dict[str, bytes]:
+    """The words that token_bytes remembers, ``most`` of them from now on. Tasks must ask for them here: a function within
+    a function is sent to the workers with copies of the dictionaries it names."""
+    memo = claim(_words.setdefault(path, _Memo(path)), _tools)
+    memo.most = most
+    return memo
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache_words: int = CACHE_WORDS, forget: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut at ``capacity``.
 
-    ``forget``: workers empty their memory of words after each task."""
+    ``forget``: workers empty their memory of words after each task. They keep the tokenizer: one that is dropped leaves
+    the words its model remembers to the process, so that a worker would grow with every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_words.setdefault(path, _Memo(path)), _tools).most = cache_words
+        memo = _remembered(path, cache_words)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -97,7 +106,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
         if forget:
-            release()
+            release(memo)
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(

@@ -41,6 +41,11 @@ _SPACE = re.compile(rb"[ \t-\r]")
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _claimed() -> None:
+    """Tasks claim the tables here: a function within a function is sent to the workers with copies of the dictionaries it names."""
+    claim(_powers)
+
+
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2^64, and those of its inverse."""
     if base not in _powers or len(_powers[base][0]) < n:
@@ -219,7 +224,7 @@ def _read(docs: DataFrame, min_words: int, window: int, span: int, whole: bool =
     more = ["fp"] if whole else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_powers)
+        _claimed()
         for b in batches:
             for first, texts in _chunks(b.column(2)):
                 words, ends, breaks = tokenise(texts)
@@ -255,7 +260,7 @@ def _again(docs: DataFrame, min_words: int, window: int, span: int, whole: bool
     sets = pa.struct([("line", pa.int64()), ("set", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_powers)
+        _claimed()
         for b in batches:
             for first, texts in _chunks(b.column(2)):
                 anchors, wanted = (b.column(k).slice(first, len(texts)) for k in (3, 4))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -305,6 +306,44 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), vocabulary()).count() == 0
 
 
+def test_packing_workers_do_not_grow(spark, monkeypatch):
+    """A worker that forgets its words after each task has one tokenizer for all of its tasks; each one dropped would leave some 6 MB behind."""
+    d = docs(spark, AWKWARD)
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, task, schema: task)
+    task = packing.pieces(d, vocabulary(), forget=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [prose(200).title(), None]})
+    first = [b.to_pydict() for b in task(iter([batch]))]
+    held = packing._tools[vocabulary()][0]
+    assert not packing._words[vocabulary()]
+    assert [b.to_pydict() for b in task(iter([batch]))] == first
+    assert packing._tools[vocabulary()][0] is held
+
+
+def test_packing_tasks_empty_what_their_worker_holds(spark, monkeypatch):
+    """A task as workers get it, pickled, bounds and forgets the words that token_bytes remembers, not a copy of them."""
+    from pyspark import cloudpickle
+
+    d = docs(spark, AWKWARD)
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, task, schema: task)
+    task = cloudpickle.loads(cloudpickle.dumps(packing.pieces(d, vocabulary(), cache_words=7, forget=True)))
+    out = task(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [prose(200)]})]))
+    next(out)
+    assert 0 < len(packing._words[vocabulary()]) <= 8
+    assert list(out) == [] and not packing._words[vocabulary()]
+
+
+def test_dedup_tasks_empty_what_their_worker_holds(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    d = docs(spark, []).selectExpr("doc_id as _who", "doc_id as _key", "text")
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, task, schema: task)
+    task = cloudpickle.loads(cloudpickle.dumps(paragraph_dedup._read(d, 51, 51, 16)))
+    out = task(iter([pa.RecordBatch.from_pydict({"_who": [1], "_key": [1], "text": [prose(200)]})]))
+    next(out)
+    assert paragraph_dedup._powers
+    assert list(out) == [] and not paragraph_dedup._powers
+
+
 def test_plan_holds_every_length():
     counts = {rng.randint(1, 4096): rng.randint(1, 5000) for _ in range(400)}
     classes = packing.plan(counts)
