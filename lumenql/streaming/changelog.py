@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.recursive import shared_folder
@@ -50,8 +50,15 @@ def gtid_set(events: DataFrame, domain: str, seq: str, pos: str) -> DataFrame:
 
 
 def lag(events: DataFrame, ts: str, now) -> DataFrame:
-    """Seconds the newest event is behind."""
-    return events.agg((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.max(ts).cast("timestamp"))).alias("seconds_behind"))
+    """Seconds the newest event is behind; both times count as the nearest whole second, halves as the even one, like a cast of DuckDB's. Times without a zone
+    are taken as of UTC, so that the session's zone doesn't matter."""
+    local = events.schema[ts].dataType.typeName() == "timestamp_ntz"
+
+    def seconds(t: Column) -> Column:
+        at = F.concat(t.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp") if local else t.cast("timestamp")
+        return F.bround(F.unix_micros(at).cast("decimal(20,0)") / 1_000_000).cast("bigint")
+
+    return events.agg((seconds(F.lit(now)) - seconds(F.max(ts))).alias("seconds_behind"))
 
 
 def interval(spark: SparkSession, start: str, seconds: int, n: int) -> DataFrame:

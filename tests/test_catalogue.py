@@ -81,6 +81,20 @@ def test_overlap_of_all_boxes(spark, tmp_path):
     assert want and sorted(map(tuple, catalogue.QUERIES["rtree_overlap_all"](spark, str(tmp_path)).collect())) == want
 
 
+@pytest.mark.parametrize("last", ["2024-01-30 23:59:25.5", "2024-01-30 23:59:26.5", "2024-07-30 23:59:25.499999", "2024-07-30 23:59:25.500001", "1969-12-31 23:59:58.5", "2024-03-31 02:30:00", None])
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_lag_counts_whole_seconds_as_its_sql_does(spark, tmp_path, last, zone):
+    to = f"{tmp_path}/events.parquet"
+    spark.sql("SELECT v.ts FROM VALUES (TIMESTAMP_NTZ'1960-01-01 00:00:00.1'), (NULL) AS v(ts)" if last is None else f"SELECT TIMESTAMP_NTZ'{last}' AS ts").where("ts IS NULL" if last is None else "true").write.parquet(to)
+    ((want,),) = duckdb.sql(catalogue.ORACLE["stream_lag"].replace("events", f"'{to}/*.parquet'")).fetchall()
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert [tuple(r) for r in catalogue.QUERIES["stream_lag"](spark, str(tmp_path)).collect()] == [(want,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_entry_imports_without_a_session():
     """The driver imports the entry before it starts Spark."""
     import subprocess
