@@ -143,3 +143,47 @@ def test_rows_frame_with_exclusion(spark, what):
                 if not out:
                     left.append(mine[k][3])
             assert got[row[0]] == ",".join(map(str, sorted(left)))
+
+
+def test_overlap_of_boxes_of_all_sizes(spark):
+    """Against SQL: points, large, empty and inverted boxes, ones without an edge or an end, several of one id or without one."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from lumenql.operators import search
+
+    rnd, nan, inf = random.Random(5), float("nan"), float("inf")
+    sides = lambda w: (x := rnd.choice([rnd.uniform(-40, 40), float(rnd.randint(-10, 10) * 4)]), x + w)
+    wide = lambda: rnd.choice([0, 0, 1, 2, 3.9, 4, 8, 33, 1e6, 1e12, -1, -9])
+    make = lambda n: [(rnd.choice([None, *range(n)]), *sides(wide()), *sides(wide())) for _ in range(n)]
+    odd = [(1, None, 1.0, 0.0, 1.0), (2, nan, nan, 0.0, 9.0), (3, -inf, inf, -5.0, 5.0), (4, 0.0, nan, -inf, 0.0), (5, 1.0, inf, nan, nan), (6, 1e300, 1e300, 1e300, 1e305)]
+    kind = "id long, x0 double, x1 double, y0 double, y1 double"
+    for a, b in ((make(300), make(400)), (make(60) + odd, make(60) + odd), (make(5), []), ([(1, 0.0, 1.0, 0.0, 1.0)], [(2, -1e13, 1e13, 0.0, 1.0)])):
+        c = duckdb.connect()
+        for name, rows in (("a", a), ("b", b)):
+            c.execute(f"CREATE TABLE {name} (id BIGINT, x0 DOUBLE, x1 DOUBLE, y0 DOUBLE, y1 DOUBLE)")
+            if rows:
+                c.executemany(f"INSERT INTO {name} VALUES (?, ?, ?, ?, ?)", rows)
+        want = c.execute("SELECT a.id, b.id FROM a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1").fetchall()
+        order = lambda rs: sorted(rs, key=lambda r: tuple((x is None, x or 0) for x in r))
+        got = lambda once: order(map(tuple, search.overlap_join(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 4.0, once).collect()))  # noqa: E731, B023
+        assert got(False) == order(want)
+        assert got(True) == order(r for r in want if None not in r and r[0] < r[1])
+
+
+def test_overlap_is_spread_and_looks_at_few_pairs(spark, monkeypatch):
+    """However small the tables, the pairs come from many tasks; a cell is looked at in pieces."""
+    import numpy as np
+
+    from lumenql.operators import search
+
+    t = spark.range(2000).selectExpr("id", "id % 50 * 1.0 AS x0", "id % 50 + 2.0 AS x1", "id % 97 * 1.0 AS y0", "id % 97 + 1.0 AS y1")
+    got = search.overlap_join(t, t, 4.0, once=True)
+    assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    n = 3000
+    y = np.sort(np.random.default_rng(1).uniform(0, 4, n))
+    rows = {"own": np.zeros(n, np.int32), "id": np.arange(n), "known": np.ones(n, bool), "x0": np.zeros(n), "x1": np.ones(n), "y0": y, "y1": y + 0.1}
+    sizes = [b.num_rows for b in search._meet(rows, rows, 0, False)]
+    assert sum(sizes) == (np.abs(y[:, None] - y) <= 0.1).sum() and max(sizes) <= 2 * search._PAIRS
