@@ -187,3 +187,13 @@ def test_overlap_is_spread_and_looks_at_few_pairs(spark, monkeypatch):
     rows = {"own": np.zeros(n, np.int32), "id": np.arange(n), "known": np.ones(n, bool), "x0": np.zeros(n), "x1": np.ones(n), "y0": y, "y1": y + 0.1}
     sizes = [b.num_rows for b in search._meet(rows, rows, 0, False)]
     assert sum(sizes) == (np.abs(y[:, None] - y) <= 0.1).sum() and max(sizes) <= 2 * search._PAIRS
+
+
+def test_overlap_writes_pairs_in_runs(spark, tmp_path):
+    """Pairs of a row of b follow each other, so that a large result takes little disk."""
+    from lumenql.operators import search
+
+    t = spark.range(20000).selectExpr("xxhash64(id) AS id", "id * 7919 % 50 * 1.0 AS x0", "id * 7919 % 50 + 2.0 AS x1", "id * 104729 % 9973 / 200 AS y0", "id * 104729 % 9973 / 200 + 1 AS y1")
+    search.overlap_join(t.where("xxhash64(id, 1) % 3 = 0"), t, 4.0).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").count()
+    assert rows > 500_000 and sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < 2.2 * rows
