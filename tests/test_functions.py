@@ -77,3 +77,53 @@ def test_fixpoint(spark):
 def test_null_keeping_json_array(spark):
     df = spark.createDataFrame([(1, 1), (2, None), (3, 3)], ["o", "x"])
     assert df.agg(relational.json_group_array(F.col("x"), F.col("o"))).first()[0] == "[1,null,3]"
+
+
+@pytest.mark.parametrize("held", [20_000, 7])
+def test_ann_finds_what_its_definition_says(spark, monkeypatch, held):
+    """Copies, vectors without an element or an end, of another length, missing ones, and ids that come twice."""
+    import random
+
+    from pyspark.sql import Window
+
+    from lumenql.functions import vectors
+
+    rnd, nan, inf = random.Random(3), float("nan"), float("inf")
+    some = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(300)]
+    some[40:60] = [some[1]] * 20
+    some[70:77] = [[1.0], None, [nan] * 8, [1.0, None] * 4, [inf] + [0.0] * 7, [], [1e30] * 8]
+    t = spark.createDataFrame([*enumerate(some), (5, some[9]), (None, some[10])], "id long, v array<float>")
+    q = t.where("id % 7 = 0 or id between 68 and 78 or id is null")
+
+    centres = t.orderBy(F.xxhash64("id"), "id").limit(6).agg(F.collect_list(F.struct("id", "v")).alias("cs"))
+    far = lambda v: F.array_sort(F.transform("cs", lambda x: F.struct(vectors.l2_distance(v, x["v"]).alias("d"), x["id"].alias("c"))))
+    rows = t.crossJoin(centres).select("id", "v", F.get(far(F.col("v")), F.lit(0))["c"].alias("list"))
+    asks = q.crossJoin(centres).select(F.col("id").alias("query"), F.col("v").alias("qv"), F.explode(F.slice(far(F.col("v")), 1, 4)["c"]).alias("list"))
+    plain = asks.join(rows, "list").select("query", "id", vectors.l2_distance(F.col("v"), F.col("qv")).alias("distance"))
+    plain = plain.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).where("rank <= 10")
+
+    monkeypatch.setattr(vectors, "_HELD", held)
+    got = vectors.ivf_search(t, q, "id", "v", 10, 6, 4)
+    shown = lambda d: sorted(str(tuple(r)) for r in d.select("query", "id", "distance", "rank").collect())
+    assert shown(got) == shown(plain)
+    assert got.schema["id"].dataType == plain.schema["id"].dataType
+
+
+def test_ann_looks_at_pairs_in_blocks():
+    """No row for each pair: fifty thousand rows against a thousand queries in seconds, in pieces of bounded size."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lumenql.functions import vectors
+
+    rng = np.random.default_rng(0)
+    batch = lambda n, passes, at: pa.record_batch({"passes": pa.array([passes] * n), "id": np.arange(at, at + n), "lists": pa.array([[0]] * n), "v": pa.array(list(rng.normal(size=(n, 16)).astype(np.float32)))})
+    asks, rows = batch(1000, False, 0), [batch(10_000, True, k * 10_000) for k in range(5)]
+    began = time.time()
+    (got,) = vectors._nearest(iter([asks, *rows]), 10, 16)
+    assert time.time() - began < 30 and got.num_rows == 10_000
+    a = np.array(asks.column("v").to_pylist()[17])
+    v = np.concatenate([np.array(r.column("v").to_pylist()) for r in rows])
+    assert got.column("id").to_pylist()[170:180] == np.argsort(((v - a) ** 2).sum(axis=1), kind="stable")[:10].tolist()
