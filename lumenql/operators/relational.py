@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,12 +97,22 @@ def json_group_object(k: Column, v: Column) -> Column:
 
 
 def geometric_mean(kind: str = "double"):
-    """An aggregate function of a user's own: step and value over Arrow batches."""
-
-    @F.pandas_udf(kind)
-    def run(x: pd.Series) -> float:
-        x = x[x > 0]
-        return float(np.exp(np.log(x).mean())) if len(x) else None
+    """A window function of a user's own, over arrays of the frames' values (``collect_list(x).over(w)``): one call for a batch of rows, not one for each row."""
+
+    @F.arrow_udf(kind)
+    def run(frames: pa.Array) -> pa.Array:
+        x = frames.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ok = x > 0
+        # of each frame, from the array's own ends: places in x behind which it ends
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(frames), 0).to_numpy())])
+        n = np.concatenate([[0], np.cumsum(ok)])
+        n = n[ends[1:]] - n[ends[:-1]]
+        logs, some = np.log(np.where(ok, x, 1.0)), np.diff(ends) > 0
+        total = np.zeros(len(frames))
+        if some.any():  # frames side by side: a sum ends where the next frame that has values begins
+            total[some] = np.add.reduceat(logs, ends[:-1][some])
+        with np.errstate(all="ignore"):
+            return pa.array(np.exp(total / n), mask=n == 0)
 
     return run
 

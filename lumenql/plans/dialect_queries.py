@@ -560,7 +560,7 @@ def udf_aggregate(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, round(exp(avg(ln(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), 4) AS g FROM orders")
 def udf_window(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(-2, 0)
-    return read(spark, d, "orders").select("o_orderkey", F.round(relational.geometric_mean()("o_totalprice").over(w), 4).alias("g"))
+    return read(spark, d, "orders").select("o_orderkey", F.round(relational.geometric_mean()(F.collect_list("o_totalprice").over(w)), 4).alias("g"))
 
 
 @query("SELECT p_partkey, p_size * p_size + 1 AS x FROM part")

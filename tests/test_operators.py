@@ -197,3 +197,27 @@ def test_overlap_writes_pairs_in_runs(spark, tmp_path):
     search.overlap_join(t.where("xxhash64(id, 1) % 3 = 0"), t, 4.0).write.parquet(f"{tmp_path}/out")
     rows = spark.read.parquet(f"{tmp_path}/out").count()
     assert rows > 500_000 and sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet")) < 2.2 * rows
+
+
+def test_window_function_of_a_user_is_called_by_batches(spark):
+    """Values that aren't positive and missing ones don't count; frames without any give null. One call sees many rows: fifty thousand in seconds."""
+    import math
+    import time
+
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    xs = [None, 0.0, -1.0, 2.0, 8.0, float("nan"), None, None, None, 4.0, float("inf"), 1e-300, 1e300]
+    t = spark.createDataFrame([(g, i, x) for g in (1, None) for i, x in enumerate(xs)], "g int, i int, x double")
+    w = Window.partitionBy("g").orderBy("i").rowsBetween(-2, 0)
+    got = {(r["g"], r["i"]): r["m"] for r in t.select("g", "i", relational.geometric_mean()(F.collect_list("x").over(w)).alias("m")).collect()}
+    for i in range(len(xs)):
+        logs = [math.log(x) for x in xs[max(0, i - 2) : i + 1] if x is not None and x > 0]
+        want = math.exp(sum(logs) / len(logs)) if logs else None
+        assert all(got[g, i] == (want if want is None else pytest.approx(want, rel=1e-12)) for g in (1, None)), i
+
+    run = relational.geometric_mean().func
+    assert run(pa.array([[], None, [1.0, 4.0], [9.0], []]).slice(1)).to_pylist() == pytest.approx([None, 2.0, 9.0, None])
+    began = time.time()
+    n = spark.range(50_000).selectExpr("id", "id % 500 AS g", "id + 1.0D AS x").select(relational.geometric_mean()(F.collect_list("x").over(Window.partitionBy("g").orderBy("id").rowsBetween(-2, 0))).alias("m")).where("m > 0").count()
+    assert n == 50_000 and time.time() - began < 60
